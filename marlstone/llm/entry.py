@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
 from .packing import op1_packing
+from .secrets import op8_secrets
+from .warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_bpe": op2_bpe,
+        "op3_warc": op3_warc,
+        "op8_secrets": op8_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
