@@ -135,5 +135,6 @@ def spelled(findings, rules: tuple[Rule, ...] | None = None):
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark, table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
-    n = [F.size(F.filter("findings", lambda f, k=r.key: f["rule"] == k)).cast("long").alias(f"n_{r.name}") for r in BASE]
+    of = lambda key: F.filter("findings", lambda f: f["rule"] == key)
+    n = [F.size(of(r.key)).cast("long").alias(f"n_{r.name}") for r in BASE]
     return found.select("doc_id", *n, F.sha2(spelled(F.col("findings"), BASE), 256).alias("base_sha256"), spelled(F.col("findings")).alias("spans"))
