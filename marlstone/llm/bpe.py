@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import table
 
 #: So many states, and so many pieces of text, are remembered by a worker before it starts anew.
-MAX_STATES, MAX_PIECES = 100_000, 600_000
+MAX_STATES, MAX_PIECES = 100_000, 1_200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
