@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
 from .packing import op1_packing
+from .quality import op4_quality
 from .secrets import op8_secrets
+from .topk import OP5_SQL, op5_topk
 from .warc import OP3_SQL, op3_warc
 
 
@@ -17,9 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_bpe": op2_bpe,
         "op3_warc": op3_warc,
+        "op4_quality": op4_quality,
+        "op5_topk": op5_topk,
         "op8_secrets": op8_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL}

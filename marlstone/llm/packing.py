@@ -13,8 +13,11 @@ pieces; repeated rows are packed each; an empty table gives an empty result; nul
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections import defaultdict, deque
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import stored, table
 
 #: Words remembered by a worker.
-MAX_WORDS = 400_000
+MAX_WORDS = 1_000_000
 #: Rows of a plan that are broadcast (40 bytes each); beyond, pieces are joined with the plan.
 BROADCAST_ROWS = 1_000_000
 
@@ -127,6 +130,8 @@ def words_of(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as little-endian 4-byte numbers")
         gc.disable()  # the cache holds no cycles
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
@@ -134,25 +139,33 @@ def words_of(path: str):
     return _TOKENIZERS[path]
 
 
+#: Cut off the end of a word where they follow a letter or digit: the tokenizer splits there anyway, and words without them repeat more.
+MARKS = b".,;:!?%$#*&|()"
+
+
+def parts_of(word: bytes) -> tuple[bytes, ...]:
+    base = word.rstrip(MARKS)
+    if base and len(base) < len(word) and base.decode()[-1].lower()[-1].isalpha():  # one letter becomes a letter and a mark
+        return base.lower(), word[len(base) :]
+    return (word.lower(),)
+
+
 def encode_all(path: str, texts: list[str]) -> list[bytes]:
     """The ids of each text. The vocabulary drops white space and never looks across it, so that words are encoded once."""
     t, known = words_of(path)
-    split = [(x or "").translate(_SPACES).split(" ") for x in texts]
-    new = list({w for words in split for w in words if w not in known})
-    got = {}
-    for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        got[w] = np.asarray(e.ids, "<u4").tobytes()
-    if len(known) + len(got) <= MAX_WORDS:
-        known.update(got)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-    out = [b"".join([known.get(w) or got.get(w, b"") for w in words]) for words in split]
-    for w in list(known)[MAX_WORDS // 2 :]:  # frequent words come early and stay
-        del known[w]
-    known.update(list(got.items())[: MAX_WORDS // 4])
-    return out
-
-
-_SPACES = {ord(c): " " for c in "\t\n\r\x0b\x0c"}
+    split = [x.encode().split() if x else [] for x in texts]
+    if len(known) > MAX_WORDS:
+        for w in list(islice(reversed(known), len(known) // 2)):  # frequent words come early and stay
+            del known[w]
+    new = set().union(*split).difference(known)
+    cut = {w: parts_of(w) for w in new}
+    parts = list({p for x in cut.values() for p in x}.difference(known))
+    for p, e in zip(parts, t.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
+        known[p] = array("I", e.ids).tobytes()
+    for w, x in cut.items():
+        if w not in known:
+            known[w] = b"".join([known[p] for p in x])
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def pieces(df: DataFrame, path: str, limit: int, end: int | None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

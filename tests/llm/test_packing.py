@@ -110,3 +110,18 @@ def test_words_beyond_the_cache(monkeypatch):
     monkeypatch.setattr(packing, "MAX_WORDS", 20)
     packing.words_of(path)[1].clear()
     assert [packing.encode_all(path, [x])[0] for x in texts] == whole
+
+
+def test_words_are_encoded_as_in_the_whole_text():
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rng = random.Random(8)
+    some = list("abcÀéßÅİΣςK0129٣½ \t\n\r\x0b\x0c\x1c\x1f\x85  　'’.,;:!?%$#*&|()<>-_̸́̊‍漢🙂") + ["'s", "'ll", " ", " "]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
+    for x, got in zip(texts, packing.encode_all(path, texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
