@@ -28,10 +28,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored, table
 
-#: The share of rows that a concentration step keeps; steps; least rows of a group; chance of a larger distance in normal data.
-H, STEPS, SMALL, CUT = 0.75, 4, 100, 1e-16
-#: Standard deviations below this say nothing: most features are zero in most documents.
-FLOOR = 0.1
+#: The share of rows that a concentration step keeps; steps; least rows of a group.
+H, STEPS, SMALL = 0.75, 4, 100
+#: Rejected beyond this distance. Shares of repeats and symbols have heavy tails, so that a quantile of normal data would reject sound documents.
+CUT = 13.0
+#: Standard deviations below this say nothing: most features are zero in most documents. A sound document may repeat a line.
+FLOOR, FLOORS = 0.04, {"dup_lines": 0.08, "repeats": 0.08}
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "variety", "capitals", "marks")
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 CAPITALS = bytes(range(65, 91))
@@ -78,15 +80,6 @@ def chi2_tail(x: float, k: int) -> float:
     return math.exp(-z + a * math.log(z) - math.lgamma(a)) * h
 
 
-def tail_quantile(p: float, k: int) -> float:
-    """The value that a chi-squared variable exceeds with the small chance ``p``."""
-    low, high = k + 2.0, 2000.0
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if chi2_tail(mid, k) > p else (low, mid)
-    return (low + high) / 2
-
-
 def counts(text: str) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the features."""
     data = text.encode()
@@ -157,8 +150,9 @@ def distance(features: tuple[str, ...]):
     return total
 
 
-def solve(moments: DataFrame, p: int, share: float) -> DataFrame:
+def solve(moments: DataFrame, features: tuple[str, ...], share: float) -> DataFrame:
     """Centre and whitening matrix of each group from its sums; spread is made consistent for the share kept."""
+    p, least = len(features), np.diag([FLOORS.get(c, FLOOR) ** 2 for c in features])
     share_factor = share / chi2_cdf(chi2_quantile(share, p), p + 2)
 
     def run(it):
@@ -168,7 +162,7 @@ def solve(moments: DataFrame, p: int, share: float) -> DataFrame:
                 n = max(r.n, 1)
                 mean = np.asarray(r.sums, float) / n
                 cov = np.asarray(r.products, float).reshape(p, p) / n - np.outer(mean, mean)
-                cov = cov * share_factor + np.eye(p) * FLOOR**2
+                cov = cov * share_factor + least
                 white = np.linalg.inv(np.linalg.cholesky(cov))
                 out.append((r.level, r.g_lang, r.g_source, mean.tolist(), white.ravel().tolist()))
             yield pd.DataFrame(out, columns=[*GROUP, "centre", "white"])
@@ -183,7 +177,7 @@ def fit(rows: DataFrame, features: tuple[str, ...] = FEATURES, share: float = H,
     middle = each.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(features)])
     middle = stored(middle, "mcd-middle")
     spread = each.join(middle, GROUP).groupBy(*GROUP).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, c in enumerate(features)])
-    white = F.array(*[F.lit(1.0) / (F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOOR))) if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
+    white = F.array(*[F.lit(1.0) / F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOORS.get(features[i], FLOOR))) if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
     now = stored(middle.join(spread, GROUP).select(*GROUP, F.array(*[F.col(f"m{i}") for i in range(p)]).alias("centre"), white.alias("white")), "mcd-start")
     sums = F.array(*[F.sum(c) for c in features]).alias("sums")
     products = F.array(*[F.sum(F.col(a) * F.col(b)) for a in features for b in features]).alias("products")
@@ -195,7 +189,7 @@ def fit(rows: DataFrame, features: tuple[str, ...] = FEATURES, share: float = H,
         else:
             kept, part = far.where(F.col("d") <= chi2_quantile(0.975, p)), 0.975
         moments = kept.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), sums, products)
-        now = stored(solve(moments, p, part), "mcd-step")
+        now = stored(solve(moments, features, part), "mcd-step")
     return middle.select(*GROUP, "size").join(now, GROUP)
 
 
@@ -210,8 +204,7 @@ def verdicts(stats: DataFrame, cut: float = CUT, small: int = SMALL, features: t
     found = found.join(b, found["l"] == b["l1"], "left").join(c, found["none"] == c["l2"], "left")
     found = found.withColumn("e", F.coalesce("e0", "e1", "e2")).withColumn("centre", F.col("e.centre")).withColumn("white", F.col("e.white"))
     found = found.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(distance(features))))
-    most = math.sqrt(tail_quantile(cut, len(features)))
-    return found.select(*stats.columns, "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= most, F.lit(True))).alias("kept"))
+    return found.select(*stats.columns, "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
