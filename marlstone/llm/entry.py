@@ -11,6 +11,7 @@ from .packing import op1_packing
 from .quality import op4_quality
 from .secrets import op8_secrets
 from .topk import OP5_SQL, op5_topk
+from .toxicity import op7_toxicity
 from .warc import OP3_SQL, op3_warc
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_quality": op4_quality,
         "op5_topk": op5_topk,
+        "op7_toxicity": op7_toxicity,
         "op8_secrets": op8_secrets,
     }
 
