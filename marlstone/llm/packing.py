@@ -205,7 +205,8 @@ def pack(cut: DataFrame, capacity: int, broadcast_rows: int = BROADCAST_ROWS) ->
     rows = plan(histogram, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(bases, ["length", "task"]).withColumn("rank", F.col("base") + F.col("place")).drop("base", "place", "task")
+    ranked = cut.join(bases.hint("merge"), ["length", "task"])  # a row for each length and task: not to be broadcast
+    ranked = ranked.withColumn("rank", F.col("base") + F.col("place")).drop("base", "place", "task")
     kept = [c for c in cut.columns if c not in ("task", "place")]
     if len(rows) > broadcast_rows:
         steps = spark.createDataFrame(rows, "p_length long, p_rank long, p_count long, p_first long, offset long")
