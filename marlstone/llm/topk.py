@@ -27,29 +27,32 @@ CANDIDATES, QUERIES = 32_768, 512
 class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)  # whole numbers; sums are exact below 2**53
+        most = float(np.abs(vectors).max(initial=0)) ** 2 * vectors.shape[1]
+        self.kind = np.float32 if most < 2**24 else np.float64  # sums of whole numbers are exact below 2**24 or 2**53
+        self.ids, self.vectors = ids[order], vectors[order].astype(self.kind)
         self.order = np.argsort(self.vectors, axis=0, kind="stable").astype(np.int32).T.copy()
         self.sorted = np.take_along_axis(self.vectors, self.order.T, axis=0).T.copy()
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the k best (ties by id), and how many candidates got a score."""
-        n = len(self.ids)
+        n, query = len(self.ids), query.astype(self.kind)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = np.zeros(n, bool)
         found, scores, kth = [], [], -np.inf
         depth, step = 0, 16
         while depth < n:
             to = min(n, depth + step)
-            met = np.concatenate([self.order[up, n - to : n - depth].ravel(), self.order[down, depth:to].ravel()]) if len(up) + len(down) else np.arange(n)
-            met = np.unique(met)
-            met = met[~seen[met]]
-            seen[met] = True
+            now = seen.copy() if len(up) + len(down) else np.ones(n, bool)
+            now[self.order[up, n - to : n - depth]] = True
+            now[self.order[down, depth:to]] = True
+            met = np.flatnonzero(now ^ seen)
+            seen = now
             met = met[self.ids[met] != own]
             found.append(met)
             scores.append(self.vectors[met] @ query)
             depth, step = to, step * 2
             every = np.concatenate(scores)
-            if len(every) >= k:
+            if len(every) >= k:  # the kth best so far
                 kth = np.partition(every, len(every) - k)[len(every) - k]
             bound = self.sorted[up, n - to] @ query[up] + self.sorted[down, to - 1] @ query[down]
             if kth > bound or not len(up) + len(down):
@@ -81,7 +84,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, candidate_block: in
         if len(a) and len(b) and a["dim"].iloc[0]:
             lists = SortedLists(a["id"].to_numpy(np.int64), np.stack(a["v"].to_numpy()))
             for own, v in zip(b["id"], b["v"], strict=True):
-                ids, scores, _ = lists.top(own, np.asarray(v, np.float64), k)
+                ids, scores, _ = lists.top(own, np.asarray(v), k)
                 out["query_id"] += [own] * len(ids)
                 out["vec_id"] += ids.tolist()
                 out["score"] += scores.astype(np.int64).tolist()
