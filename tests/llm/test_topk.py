@@ -37,7 +37,7 @@ def test_frames(spark):
     inf, nan = float("inf"), float("nan")
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=6)], "clash") for i in range(90)]
-    rows += [(100, None, ""), (120, [1.0, None, 1, 1, 1, 1], ""), (140, [inf] * 6, ""), (160, [nan] * 6, ""), (None, [1.0] * 6, ""), (180, [9.0], ""), (7, rows[7][1], ""), (200, [], "")]
+    rows += [(100, None, ""), (120, [1.0, None, 1.0, 1.0, 1.0, 1.0], ""), (140, [inf] * 6, ""), (160, [nan] * 6, ""), (None, [1.0] * 6, ""), (180, [9.0], ""), (7, rows[7][1], ""), (200, [], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     q = quantised(df, 64, "vec_id", "embedding")
     found = {}
