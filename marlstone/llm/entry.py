@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .neardup import op9_neardup
 from .packing import op1_packing
 from .quality import op4_quality
 from .secrets import op8_secrets
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_topk": op5_topk,
         "op7_toxicity": op7_toxicity,
         "op8_secrets": op8_secrets,
+        "op9_neardup": op9_neardup,
     }
 
 

@@ -1,0 +1,30 @@
+"""Connected components by alternating stars, all in DataFrames; the driver sees counts only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def components(links: DataFrame, most: int = 60) -> DataFrame:
+    """``links`` (a long, b long) to (node, root): the least node that each can be reached from. Each round hangs every
+    node's larger neighbours on its least neighbour, then every smaller one; rows never outgrow the links, and a node
+    with very many neighbours is summed where its rows are."""
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+    for _ in range(most):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a")
+        after = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "components")
+        moved = after.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(after, ["a", "b"], "left_anti").limit(1).count()
+        edges = after
+        if not moved:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
