@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .lines import op10_lines
 from .neardup import op9_neardup
 from .packing import op1_packing
 from .quality import op4_quality
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity,
         "op8_secrets": op8_secrets,
         "op9_neardup": op9_neardup,
+        "op10_lines": op10_lines,
     }
 
 
