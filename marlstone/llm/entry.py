@@ -10,6 +10,7 @@ from .bpe import op2_bpe
 from .lines import op10_lines
 from .neardup import op9_neardup
 from .packing import op1_packing
+from .privacy import op6_privacy
 from .quality import op4_quality
 from .secrets import op8_secrets
 from .topk import OP5_SQL, op5_topk
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_quality": op4_quality,
         "op5_topk": op5_topk,
+        "op6_privacy": op6_privacy,
         "op7_toxicity": op7_toxicity,
         "op8_secrets": op8_secrets,
         "op9_neardup": op9_neardup,

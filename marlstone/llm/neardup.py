@@ -39,22 +39,23 @@ def keyed(items: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, key, bands): key is null for empty sets."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """(id, h, n, key, bands): a hash of the text, and the set's key, null for empty sets."""
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(it):
         for batch in it:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n, keys, bands = [], [], []
-                for t in part.column(1).to_pylist():
+                for t in part.column(2).to_pylist():
                     s = sketch.shingles(t)
                     n.append(len(s))
                     keys.append(keyed(s) if len(s) else None)
                     bands.append(sketch.bands(sketch.sketch(s)) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, n long, key binary, bands array<long>")
+    text = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"))
+    return text.mapInArrow(run, "id long, h long, n long, key binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,7 +155,8 @@ def links(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, component): the least id of the document's class, null if no row of the class has an id."""
+    """(id, h, n, component, root): a hash of the text, the set's size, the least id of the document's class (null if no
+    row of it has one), and a number of the class (null for empty sets)."""
     own = stored(signatures(docs, id_col, text_col), "neardup-signatures")
     each = own.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(each.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
@@ -167,8 +169,22 @@ def classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col
     labelled = nodes.select("key", "node", "id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = stored(labelled.select("key", "root", "id"), "neardup-roots")
     least = labelled.groupBy("root").agg(F.min("id").alias("component"))
-    names = labelled.join(least, "root").select("key", "component")
-    return own.select("id", "n", "key").join(names, "key", "left").select("id", "n", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "key")
+    names = labelled.join(least, "root").select("key", "component", "root")
+    return own.select("id", "h", "n", "key").join(names, "key", "left").select("id", "h", "n", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "root")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with all columns: one of each class, of the least id, and all rows with empty sets."""
+    found = stored(classes(docs, percent, id_col, text_col), "neardup-classes")
+    rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))
+    kept = found.where("root is not null").groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
+    keyed = docs.withColumn("__t", F.xxhash64(docs[text_col]))
+    own = keyed.join(kept.hint("shuffle_hash"), keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")), "left_semi")
+    many = found.where("root is not null").groupBy("id", "h").count().where("count > 1").limit(1).count()
+    own = own.dropDuplicates([id_col, "__t"]) if many else own  # rows that agree in id and text
+    empty = found.where("root is null").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    rest = keyed.join(empty.hint("shuffle_hash"), keyed[id_col].eqNullSafe(F.col("__id")) & F.col("__t").eqNullSafe(F.col("__h")), "left_semi") if empty.limit(1).count() else None
+    return (own.unionByName(rest) if rest is not None else own).select(*docs.columns)
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
