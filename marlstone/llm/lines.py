@@ -21,7 +21,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -46,21 +46,37 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def with_tokens(lines: DataFrame, classes: bytes | None = None) -> DataFrame:
     """Lines of WORDS words and more, with their token hashes: as they come, or with the rarity in the upper byte if ``classes`` are given."""
     keep = [c for c in lines.columns if c != "line"]
-    hashed = lines.select(*keep, F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= WORDS)
+    hashed = lines.select(*keep, F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
     w = F.col("w")
     shingle = lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]).bitwiseAND(F.lit(_LOW))
-    tokens = hashed.select(*keep, F.transform(F.sequence(F.lit(0), F.size("w") - WORDS), shingle).alias("t"))
+    # no filter by size here: it would be pushed below and work the hashes out a second time
+    starts = F.when(F.size("w") >= WORDS, F.sequence(F.lit(0), F.size("w") - WORDS)).otherwise(F.array().cast("array<int>"))
+    tokens = hashed.select(*keep, F.transform(starts, shingle).alias("t"))
     if classes is None:
         return tokens
-    slot = lambda x: F.ascii(F.substring(F.lit(classes), F.pmod(x, F.lit(SLOTS)).cast("int") + 1, 1).cast("string")).cast("long")
+    slot = lambda x: at_slot(classes, x).cast("long")
     ranked = F.transform("t", lambda x: F.shiftleft(slot(x), 56).bitwiseOR(x))
     return tokens.select(*keep, F.sort_array(F.array_distinct(ranked)).alias("t"))
 
 
+def at_slot(slots: bytes, key: Column) -> Column:
+    """The byte of a key's slot."""
+    return F.ascii(F.substring(F.lit(slots), F.pmod(key, F.lit(SLOTS)).cast("int") + 1, 1).cast("string"))
+
+
+def members(keys: DataFrame) -> bytes:
+    """A table of slots (1 or 2) that says 2 for each key of the one column, and for some others."""
+    out = bytearray(b"\x01" * SLOTS)
+    slot = F.pmod(F.col(keys.columns[0]), F.lit(SLOTS)).cast("int").alias("slot")
+    for x in keys.select(slot).distinct().toArrow().column(0).to_pylist():  # SLOTS rows at most
+        out[x] = 2
+    return bytes(out)
+
+
 def rarity(lines: DataFrame) -> bytes:
     """A byte for each slot, the magnitude of its count: SLOTS rows at most come to the driver, and go into the plan."""
     # explode_outer: a filter inferred from explode would be pushed below and work the hashes out anew for each shingle
-    slots = with_tokens(lines).select(F.explode_outer("t").alias("x")).groupBy(F.pmod("x", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    slots = with_tokens(lines).select(F.explode_outer("t").alias("x")).where("x is not null").groupBy(F.pmod("x", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     out = bytearray(b"\x01" * SLOTS)
     for r in slots.toArrow().to_pylist():
         out[r["slot"]] = 1 + r["n"].bit_length()
@@ -92,12 +108,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ranked = with_tokens(lines, classes)
     m = F.size("t")
     prefix = F.slice("t", 1, m - F.ceil(F.lit(PERCENT) * m / 100).cast("int") + 1)
-    own = stored(ranked.select("id", "h", "no", F.xxhash64("t").alias("s"), m.alias("m"), prefix.alias("p")), "line-prefixes")
+    every = stored(ranked.select("id", "h", "no", F.xxhash64("t").alias("s"), m.alias("m"), prefix.alias("p")), "line-prefixes")
+    own = every.where("m > 0")
     place = F.struct("id", "h", "no")
-    nodes = own.groupBy("s").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("lines"), F.first("m").alias("m"), F.first("p").alias("p"))
-    rows = nodes.select("s", "m", "at", "lines", F.posexplode("p").alias("i", "token")).repartition("token")
-    common = rows.groupBy("token").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("token")
-    shared = stored(rows.join(common.hint("shuffle_hash"), "token"), "line-shared")
+    prefixes = own.groupBy("s").agg(F.first("m").alias("m"), F.first("p").alias("p"))
+    rows = prefixes.select("s", "m", F.posexplode("p").alias("i", "token"))
+    # one shuffle by token; the frame of a token that very many nodes have spills
+    token = Window.partitionBy("token")
+    common = rows.withColumn("a", F.min("s").over(token)).withColumn("b", F.max("s").over(token)).where("a <> b").select("token", "s", "m", "i")
+    info = own.groupBy("s").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("lines"))
+    shared = stored(common.join(info.hint("merge"), "s"), "line-shared")
     wanted = shared.groupBy("s").agg(F.first("at").alias("at"))
     sets = stored(sets_of(docs, wanted, classes, id_col, text_col), "line-sets")
     node = F.struct("s", "at", "m", "i")
@@ -118,17 +138,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: bytes, id_col: str, tex
     """(s, t): full token sets of the nodes ``wanted`` (s, at), from the documents of their first lines."""
     places = wanted.groupBy(F.col("at.id").alias("id"), F.col("at.h").alias("h")).agg(F.collect_set("at.no").alias("nos"))
     text = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("id"), docs[text_col].alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
-    found = text.join(places.hint("shuffle_hash"), ["id", "h"])
+    places = stored(places, "line-places")
+    found = text.where(at_slot(members(places.select("h")), F.col("h")) == 2).join(places.hint("shuffle_hash"), ["id", "h"])
     lines = found.select(F.explode("nos").alias("no"), F.split("text", "\n").alias("all")).select(F.col("all")[F.col("no")].alias("line"))
     ranked = with_tokens(lines, classes)
-    return ranked.select(F.xxhash64("t").alias("s"), "t").dropDuplicates(["s"])
+    return ranked.select(F.xxhash64("t").alias("s"), "t").dropDuplicates(["s"])  # rows may agree in id and text
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with later matches cut from the text, and n_lines and gone (places from 0) after them."""
     lost = stored(removals(docs, id_col, text_col), "line-removals").select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
     keyed = docs.withColumns({"__i": F.coalesce(docs[id_col].cast("long"), F.lit(LAST)), "__t": F.xxhash64(docs[text_col])})
-    found = keyed.join(lost.hint("shuffle_hash"), (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__h")) & F.col(text_col).isNotNull(), "left")
+    some = at_slot(members(lost.select("__h")), F.col("__t")) == 2  # only documents that may lose a line are dealt out for the join
+    found = keyed.where(some).join(lost.hint("shuffle_hash"), (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__h")) & F.col(text_col).isNotNull(), "left")
+    found = found.unionByName(keyed.where(~some), allowMissingColumns=True)
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     cols = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
