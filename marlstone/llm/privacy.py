@@ -32,13 +32,14 @@ CYRILLIC = ("ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "н
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Each begins with what rules it out soonest: most places in a text are no start of anything.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "name": rf"(?<=(?<!\p{{L}})(?:{'|'.join((*MALE, *FEMALE))})\.?\s){NAME}(?: {NAME})?",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": rf"(?=[0-9])(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "phone": r"(?=[0-9+(])(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "card": r"(?=[0-9])(?<![0-9A-Za-z])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9A-Za-z])",
+    "ssn": r"(?=[0-9])(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "name": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join((*MALE, *FEMALE))})\.?\s){NAME}(?: {NAME})?",
 }
 #: The social security pattern comes before phone numbers, as these may look alike.
 ORDER = ("email", "ip", "ssn", "card", "phone", "name")
@@ -167,10 +168,12 @@ def settled(key: str, entities: DataFrame, most: int = 50) -> DataFrame:
     raise RuntimeError("surrogates did not settle")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, with surrogates in the text."""
+def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, with surrogates in the text, and the number of mentions if a name for it is given."""
     found = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), mentions(docs[text_col]).alias("m"))
-    each = stored(found.where(F.size("m") > 0).select("id", "h", F.explode(F.flatten(F.transform("m", lambda m: entity(m["kind"], m["mention"])))).alias("e")).select("id", "h", "e.*").distinct(), "privacy-mentions")
+    # explode_outer: a filter inferred from explode would be pushed below and search the texts a second time
+    each = found.select("id", "h", F.explode_outer("m").alias("m")).where("m is not null").select("id", "h", F.explode(entity(F.col("m.kind"), F.col("m.mention"))).alias("e"))
+    each = stored(each.select("id", "h", "e.*").distinct(), "privacy-mentions")
     late = settled(key, each)
     named = docs
     attempts = None
@@ -180,14 +183,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
         keyed = docs.withColumn("__t", F.xxhash64(docs[text_col]))
         named = keyed.join(maps, keyed[id_col].eqNullSafe(maps["__id"]) & (keyed["__t"] == maps["__h"]), "left")
         attempts = F.coalesce("__late", F.create_map().cast("map<string,int>"))
-    text = F.col(text_col)
-    m, rest = mentions(text), F.element_at(F.split(text, ANY, -1), -1)
+    text, m = F.col(text_col), F.col("__m")
+    rest = F.element_at(F.split(text, ANY, -1), -1)
     spelled_out = F.concat(F.array_join(F.transform(m, lambda x: F.concat(x["before"], surrogate(key, x, attempts))), ""), rest)
-    return named.select(*[F.when(text.rlike(ANY), spelled_out).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    out = [F.when(F.size(m) > 0, spelled_out).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return named.withColumn("__m", mentions(text)).select(*out, *[F.size(m).alias(c) for c in [count_col] if c])
 
 
 def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = F.when(F.col("before").rlike(ANY), F.size(F.regexp_extract_all("before", F.lit(ANY), F.lit(0)))).otherwise(0)
-    both = pseudonymise(docs.withColumn("before", F.col("text")))
-    return both.select("doc_id", F.coalesce(n, F.lit(0)).alias("n_entities"), "text")
+    return pseudonymise(docs, count_col="n_entities").select("doc_id", "n_entities", "text")
