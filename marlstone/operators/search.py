@@ -1,0 +1,107 @@
+"""Passage search: BM25 over an inverted index of documents, weighted query parts, phrase bonus, diversified picks."""
+
+from __future__ import annotations
+
+from ..functions.text import fold, searched, stem, tokens
+from ..plans.dialect import query
+
+K1, B, PHRASE, POOL = 1.2, 0.75, 6.0, 40
+#: Query words that call up others, at this weight.
+CALLED, THESAURUS = 0.6, (("right", "law"), ("state", "nation"), ("work", "license"), ("nation", "state"))
+
+
+def index(d) -> str:
+    """Terms by document (stems with their counts), lengths, document frequencies."""
+    return f"""
+tok AS (SELECT doc_id, {tokens(d, "text")} AS w FROM {d.t("documents")}),
+one AS (SELECT * FROM ({d.unnest("doc_id", "tok", "w", "pos", "word")}) u WHERE {searched("word")}),
+len AS (SELECT doc_id, count(*) AS n FROM one GROUP BY doc_id),
+tf AS (SELECT term, doc_id, least(count(*), 255) AS tf FROM (SELECT doc_id, {stem(d, "word")} AS term FROM one) s GROUP BY term, doc_id),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+size AS (SELECT count(*) AS docs, avg(n) AS mean FROM len)"""
+
+
+def scored(weights: str) -> str:
+    """Score of each (item_id, doc_id) from ``weights`` (item_id, term, w)."""
+    return f"""
+score AS (
+  SELECT q.item_id, tf.doc_id, round(sum(q.w * ln(1 + (s.docs - df.df + 0.5) / (df.df + 0.5)) * {K1 + 1} * tf.tf / (tf.tf + {K1} * ({1 - B} + {B} * len.n / s.mean))), 6) AS score
+  FROM {weights} q JOIN tf ON q.term = tf.term JOIN df ON tf.term = df.term JOIN len ON tf.doc_id = len.doc_id CROSS JOIN size s
+  GROUP BY q.item_id, tf.doc_id)"""
+
+
+@query
+def bm25_topk(d):
+    """Best five documents of each benchmark text."""
+    return f"""
+WITH {index(d)},
+qtok AS (SELECT item_id, {tokens(d, "text")} AS w FROM {d.t("benchmark")}),
+qone AS (SELECT * FROM ({d.unnest("item_id", "qtok", "w", "pos", "word")}) u WHERE {searched("word")}),
+q AS (SELECT DISTINCT item_id, {stem(d, "word")} AS term, 1.0 AS w FROM qone),
+{scored("q")},
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM score)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 5"""
+
+
+@query
+def bm25_weighted_parts(d):
+    """First words weigh more than the rest, called-up words less; a document with the first three words in a row gets a bonus among the best forty."""
+    pairs = ", ".join(f"('{a}', '{b}')" for a, b in THESAURUS)
+    return f"""
+WITH {index(d)},
+qtok AS (SELECT item_id, {tokens(d, "text")} AS w FROM {d.t("benchmark")}),
+qone AS (SELECT * FROM ({d.unnest("item_id", "qtok", "w", "pos", "word")}) u WHERE {searched("word")}),
+calls(word, other) AS (VALUES {pairs}),
+part AS (SELECT item_id, word, CASE WHEN pos < 8 THEN 1.0 WHEN pos < 16 THEN 0.6 ELSE 0.4 END AS w FROM qone),
+every AS (SELECT item_id, word, w FROM part UNION ALL SELECT p.item_id, c.other AS word, {CALLED} * p.w AS w FROM part p JOIN calls c ON p.word = c.word),
+q AS (SELECT item_id, {stem(d, "word")} AS term, max(w) AS w FROM every GROUP BY item_id, {stem(d, "word")}),
+{scored("q")},
+pool AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rn FROM score) x WHERE rn <= {POOL}),
+phrase AS (SELECT item_id, {d.text(d.part(d.find(fold("text"), "[a-z0-9]+"), 1, 3), " ")} AS phrase FROM {d.t("benchmark")}),
+plain AS (SELECT doc_id, {d.text(d.find(fold("text"), "[a-z0-9]+"), " ")} AS joined FROM {d.t("documents")}),
+again AS (SELECT p.item_id, p.doc_id, p.score + CASE WHEN {d.instr("plain.joined", "phrase.phrase")} > 0 THEN {PHRASE} ELSE 0.0 END AS score FROM pool p JOIN phrase ON p.item_id = phrase.item_id JOIN plain ON p.doc_id = plain.doc_id)
+SELECT item_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM again) z WHERE rank <= 5"""
+
+
+@query
+def diversified_pick(d):
+    """The best of each language if it has 0.45 of the best score, then by score; a neighbour (id one apart) of a better pick is skipped."""
+    return f"""
+WITH {index(d)},
+qtok AS (SELECT item_id, {tokens(d, "text")} AS w FROM {d.t("benchmark")}),
+qone AS (SELECT * FROM ({d.unnest("item_id", "qtok", "w", "pos", "word")}) u WHERE {searched("word")}),
+q AS (SELECT DISTINCT item_id, {stem(d, "word")} AS term, 1.0 AS w FROM qone),
+{scored("q")},
+pool AS (SELECT * FROM (SELECT s.item_id, s.doc_id, s.score, l.lang, CAST(row_number() OVER (PARTITION BY s.item_id ORDER BY s.score DESC, s.doc_id) AS INTEGER) AS rn, max(s.score) OVER (PARTITION BY s.item_id) AS best FROM score s JOIN {d.t("documents")} l ON s.doc_id = l.doc_id) x WHERE rn <= {POOL}),
+own AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id, lang ORDER BY score DESC, doc_id) AS INTEGER) AS in_lang FROM pool),
+fit AS (SELECT o.* FROM own o WHERE NOT EXISTS (SELECT 1 FROM own p WHERE p.item_id = o.item_id AND abs(p.doc_id - o.doc_id) = 1 AND p.rn < o.rn))
+SELECT item_id, doc_id, lang, score, place FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN in_lang = 1 AND score >= 0.45 * best THEN 0 ELSE 1 END, score DESC, doc_id) AS INTEGER) AS place FROM fit) y
+WHERE place <= 3"""
+
+
+@query
+def search_minus_recent(d):
+    """Hits that a query's six predecessors were not offered already (as each one's first hit)."""
+    return f"""
+WITH {index(d)},
+qtok AS (SELECT item_id, {tokens(d, "text")} AS w FROM {d.t("benchmark")}),
+qone AS (SELECT * FROM ({d.unnest("item_id", "qtok", "w", "pos", "word")}) u WHERE {searched("word")}),
+q AS (SELECT DISTINCT item_id, {stem(d, "word")} AS term, 1.0 AS w FROM qone),
+{scored("q")},
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM score),
+top AS (SELECT * FROM r WHERE rank <= 5), offered AS (SELECT item_id, doc_id FROM r WHERE rank = 1)
+SELECT t.item_id, t.doc_id, t.score FROM top t
+WHERE NOT EXISTS (SELECT 1 FROM offered o WHERE o.doc_id = t.doc_id AND o.item_id < t.item_id AND o.item_id >= t.item_id - 6)"""
+
+
+@query
+def stemmed_tokens(d):
+    """How often each stem occurs, and in how many documents."""
+    return f"""
+WITH tok AS (SELECT doc_id, {tokens(d, "text")} AS w FROM {d.t("documents")}),
+one AS (SELECT * FROM ({d.unnest("doc_id", "tok", "w", "pos", "word")}) u WHERE {searched("word")})
+SELECT {stem(d, "word")} AS stem, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM one GROUP BY {stem(d, "word")}"""
+
+
+
