@@ -111,12 +111,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     every = stored(ranked.select("id", "h", "no", F.xxhash64("t").alias("s"), m.alias("m"), prefix.alias("p")), "line-prefixes")
     own = every.where("m > 0")
     place = F.struct("id", "h", "no")
-    prefixes = own.groupBy("s").agg(F.first("m").alias("m"), F.first("p").alias("p"))
-    rows = prefixes.select("s", "m", F.posexplode("p").alias("i", "token"))
+    prefixes = own.groupBy("s").agg(F.first("p").alias("p"))
+    rows = prefixes.select("s", F.posexplode("p").alias("i", "token"))
     # one shuffle by token; the frame of a token that very many nodes have spills
     token = Window.partitionBy("token")
-    common = rows.withColumn("a", F.min("s").over(token)).withColumn("b", F.max("s").over(token)).where("a <> b").select("token", "s", "m", "i")
-    info = own.groupBy("s").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("lines"))
+    common = rows.withColumn("a", F.min("s").over(token)).withColumn("b", F.max("s").over(token)).where("a <> b").select("token", "s", "i")
+    info = own.groupBy("s").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("lines"), F.max("m").alias("m"))
     shared = stored(common.join(info.hint("merge"), "s"), "line-shared")
     wanted = shared.groupBy("s").agg(F.first("at").alias("at"))
     sets = stored(sets_of(docs, wanted, classes, id_col, text_col), "line-sets")
