@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import corpus, search, timeline  # noqa: F401  (registers)
+from .operators import corpus, search, statistics, timeline  # noqa: F401  (registers)
 from .plans.dialect import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
