@@ -17,7 +17,6 @@ encoded each; an empty table gives an empty result; columns besides the two name
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table
+from .common import table, takes_turn
 
 #: So many states, and so many pieces of text, are remembered by a worker before it starts anew.
 MAX_STATES, MAX_PIECES = 100_000, 1_200_000
@@ -263,8 +262,8 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     """One for each file in a worker, kept between its tasks."""
+    takes_turn("bpe", _CODECS.clear)
     if (path, pattern) not in _CODECS:
-        gc.disable()  # states and pieces hold no cycles, and there are too many of them to be walked again and again
         _CODECS[path, pattern] = Codec(path, pattern)
     return _CODECS[path, pattern]
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Python workers take a few hundred long texts at a time, so that a batch stays within tens of MB.
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +33,16 @@ def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def columns_of(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Only the named columns, as strings where they are textual; extra columns, also with clashing names, go."""
-    return df.select(*[df[c] for c in wanted])
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def takes_turn(name: str, clear: Callable[[], None]) -> None:
+    """To be called where a task begins to fill a cache that its worker keeps. The caches of other operators that ran in
+    this worker before are emptied, so that a pipeline's stages don't add up; and the collector of cycles, of which
+    caches have none, looks at them less often."""
+    for other, empty in _CACHES.items():
+        if other != name:
+            empty()
+    if name not in _CACHES:
+        gc.set_threshold(100_000, 50, 1000)
+    _CACHES[name] = clear

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stored, table
+from .common import stored, table, takes_turn
 
 #: Words remembered by a worker.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 800_000
 #: Rows of a plan that are broadcast (40 bytes each); beyond, pieces are joined with the plan.
 BROADCAST_ROWS = 1_000_000
 
@@ -123,8 +123,8 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 def words_of(path: str):
     """The tokenizer and the ids of words met so far (little-endian, 4 bytes an id), kept in a worker between tasks."""
+    takes_turn("packing", _TOKENIZERS.clear)
     if path not in _TOKENIZERS:
-        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,7 +132,6 @@ def words_of(path: str):
 
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are kept as little-endian 4-byte numbers")
-        gc.disable()  # the cache holds no cycles
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
         _TOKENIZERS[path] = t, {}

@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import takes_turn
+
 #: Coordinates of a sketch: BANDS bands of ROWS. Two sets of similarity 0.85 share no band with chance below 1e-6.
 ROWS, BANDS = 5, 25
 SIZE = ROWS * BANDS
 #: Words whose hashes a worker remembers.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 800_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -27,6 +29,7 @@ _SEEDS = mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * _FACTORS[0])
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    takes_turn("sketch", _WORDS.clear)
     known = _WORDS
     if len(known) > MAX_WORDS:
         known.clear()

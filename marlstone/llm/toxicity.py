@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stored, table
+from .common import stored, table, takes_turn
 
 #: Labelled rows of either label that a fit reads at most, stems it keeps at most, least toxic documents of a stem, least log-odds.
 FIT_ROWS, STEMS, SUPPORT, ODDS = 10_000, 4_000, 4, 2.0
@@ -98,7 +98,7 @@ class Grammar:
         """Symbol and weight of a lower-cased word."""
         got = self.seen.get(word)
         if got is None:
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 300_000:
                 self.seen.clear()
             bare = word.replace("’", "'")
             weight = max((w for n in PREFIXES if n < len(bare) and (w := self.stems.get(bare[:n] + "*"))), default=0.0)
@@ -226,6 +226,7 @@ def score(df: DataFrame, model: tuple[dict[str, float], list[float]], id_col: st
     def run(it):
         stems, weights = shared.value
         g, w = Grammar(stems), np.array(weights)
+        takes_turn("toxicity", g.seen.clear)
         for batch in it:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
