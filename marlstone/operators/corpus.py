@@ -95,9 +95,9 @@ SELECT o.doc_id, count(*) AS recalled FROM one o LEFT JOIN had ON o.doc_id = had
 
 @query
 def near_dup_trigram_jaccard(d):
-    """Documents of a source and language that repeat an earlier one: equal first six words, or half of all word trigrams in common. Copies count once, for the least id."""
+    """Turns (conversation * 1000 + turn) that repeat an earlier one of their role: equal first six words, or half of all word trigrams in common, by a prefix filter over rare trigrams. Copies count once, for the least."""
     return f"""
-WITH t AS (SELECT lang, source, {d.text("w", " ")} AS joined, min(doc_id) AS doc_id FROM (SELECT doc_id, lang, source, {words(d, "text")} AS w FROM {d.t("documents")}) x GROUP BY lang, source, {d.text("w", " ")}),
+WITH t AS (SELECT lang, source, {d.text("w", " ")} AS joined, min(doc_id) AS doc_id FROM (SELECT conv_id * 1000 + turn AS doc_id, role AS lang, role AS source, {words(d, "text")} AS w FROM {d.t("conversations")}) x GROUP BY lang, source, {d.text("w", " ")}),
 w AS (SELECT doc_id, lang, source, {d.split("joined", " ")} AS w FROM t),
 g AS (SELECT doc_id, lang, source, {d.text(d.part("w", 1, 6), " ")} AS six, {d.size("w")} AS n, {d.distinct(d.grams("w", 3))} AS g FROM w),
 one AS ({d.unnest("doc_id, lang, source", "g", "g", "pos", "gram")}),
