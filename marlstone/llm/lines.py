@@ -4,7 +4,7 @@ A line's tokens are its distinct five-word shingles (words are cut at ASCII whit
 match if the Jaccard similarity of their tokens is at least PERCENT / 100; a line goes if it matches an earlier one.
 Lines are ordered by document id and place. Lines of fewer than five words have no shingle and always stay.
 
-1. Tokens are counted in a table of 2**18 slots, whatever the size of the corpus; a token's rarity is the magnitude of
+1. Tokens are counted in a table of 2**16 slots, whatever the size of the corpus; a token's rarity is the magnitude of
    its slot, and ties fall by hash. Any total order is exact; rare tokens first keep candidates few.
 2. Lines with equal token sets are one node, whose place is that of its first line; all but the first go.
 3. Prefix filter: matching sets share one of their first m - ceil(PERCENT * m / 100) + 1 tokens. Only tokens that two
@@ -21,12 +21,13 @@ empty result.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
 
-WORDS, PERCENT, SLOTS, LAST = 5, 80, 1 << 18, (1 << 63) - 1
+WORDS, PERCENT, SLOTS, PLACES, LAST = 5, 80, 1 << 16, 1 << 18, (1 << 63) - 1
 _LOW = (1 << 56) - 1
 
 
@@ -65,22 +66,27 @@ def at_slot(slots: bytes, key: Column) -> Column:
 
 
 def members(keys: DataFrame) -> bytes:
-    """A table of slots (1 or 2) that says 2 for each key of the one column, and for some others."""
-    out = bytearray(b"\x01" * SLOTS)
-    slot = F.pmod(F.col(keys.columns[0]), F.lit(SLOTS)).cast("int").alias("slot")
-    for x in keys.select(slot).distinct().toArrow().column(0).to_pylist():  # SLOTS rows at most
-        out[x] = 2
-    return bytes(out)
+    """A filter of PLACES bits, six a byte, with the bits of the one column's keys set."""
+    place = F.pmod(F.col(keys.columns[0]), F.lit(PLACES)).cast("int").alias("place")
+    bits = np.zeros(-(-PLACES // 6) * 6, np.uint8)
+    bits[keys.select(place).distinct().toArrow().column(0).to_numpy()] = 1  # PLACES rows at most
+    return bytes(bits.reshape(-1, 6) @ np.array([1, 2, 4, 8, 16, 32], np.uint8) + np.uint8(64))
+
+
+def may_be_member(table: bytes, key: Column) -> Column:
+    """True for each member, and for keys that share a bit with one."""
+    place = F.pmod(key, F.lit(PLACES)).cast("int")
+    byte = F.ascii(F.substring(F.lit(table), F.floor(place / 6).cast("int") + 1, 1).cast("string"))
+    return F.floor(byte / F.pow(F.lit(2), place % 6)).cast("int") % 2 == 1
 
 
 def rarity(lines: DataFrame) -> bytes:
     """A byte for each slot, the magnitude of its count: SLOTS rows at most come to the driver, and go into the plan."""
     # explode_outer: a filter inferred from explode would be pushed below and work the hashes out anew for each shingle
-    slots = with_tokens(lines).select(F.explode_outer("t").alias("x")).where("x is not null").groupBy(F.pmod("x", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    out = bytearray(b"\x01" * SLOTS)
-    for r in slots.toArrow().to_pylist():
-        out[r["slot"]] = 1 + r["n"].bit_length()
-    return bytes(out)
+    slots = with_tokens(lines).select(F.explode_outer("t").alias("x")).where("x is not null").groupBy(F.pmod("x", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out = np.ones(SLOTS, np.uint8)
+    out[slots.column("slot").to_numpy()] = 1 + np.ceil(np.log2(slots.column("n").to_numpy() + 1)).astype(np.uint8)
+    return out.tobytes()
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -139,7 +145,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: bytes, id_col: str, tex
     places = wanted.groupBy(F.col("at.id").alias("id"), F.col("at.h").alias("h")).agg(F.collect_set("at.no").alias("nos"))
     text = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("id"), docs[text_col].alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
     places = stored(places, "line-places")
-    found = text.where(at_slot(members(places.select("h")), F.col("h")) == 2).join(places.hint("shuffle_hash"), ["id", "h"])
+    found = text.where(may_be_member(members(places.select("h")), F.col("h"))).join(places.hint("shuffle_hash"), ["id", "h"])
     lines = found.select(F.explode("nos").alias("no"), F.split("text", "\n").alias("all")).select(F.col("all")[F.col("no")].alias("line"))
     ranked = with_tokens(lines, classes)
     return ranked.select(F.xxhash64("t").alias("s"), "t").dropDuplicates(["s"])  # rows may agree in id and text
@@ -149,7 +155,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """All rows and columns of ``docs``, with later matches cut from the text, and n_lines and gone (places from 0) after them."""
     lost = stored(removals(docs, id_col, text_col), "line-removals").select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
     keyed = docs.withColumns({"__i": F.coalesce(docs[id_col].cast("long"), F.lit(LAST)), "__t": F.xxhash64(docs[text_col])})
-    some = at_slot(members(lost.select("__h")), F.col("__t")) == 2  # only documents that may lose a line are dealt out for the join
+    some = F.coalesce(may_be_member(members(lost.select("__h")), F.col("__t")), F.lit(False))  # only documents that may lose a line are dealt out for the join
     found = keyed.where(some).join(lost.hint("shuffle_hash"), (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__h")) & F.col(text_col).isNotNull(), "left")
     found = found.unionByName(keyed.where(~some), allowMissingColumns=True)
     lines = F.split(F.col(text_col), "\n")
