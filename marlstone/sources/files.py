@@ -27,11 +27,13 @@ def strict_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def repaired_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines without the torn last one of a file; any other bad line fails, with the file and line in the message."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("no", "line"), F.size(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("n"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("no", "line"), F.size(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("n"))
     row = F.from_json("line", T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     read = lines.withColumn("row", row).withColumn("bad", F.col("row._bad").isNotNull() | F.col("row").isNull())
-    sound = F.when(F.col("bad") & (F.col("no") < F.col("n") - 1), F.raise_error(F.concat("file", F.lit(":"), (F.col("no") + 1).cast("string"), F.lit(": bad line")))).otherwise(~F.col("bad"))
-    return read.where(sound.cast("boolean")).select("row.*").drop("_bad")
+    wrong = read.where("bad and no < n - 1").select("file", "no").limit(1).collect()  # read once for this before any row is used
+    if wrong:
+        raise ValueError(f"{wrong[0]['file']}:{wrong[0]['no'] + 1}: bad line")
+    return read.where("not bad").select("row.*").drop("_bad")
 
 
 def latest_on_or_before(df: DataFrame, date: Column, key: str = "date") -> DataFrame:
@@ -70,7 +72,7 @@ def headlines(spark: SparkSession, path: str, most: int = 6) -> DataFrame:
     """Titles of RSS and Atom files: tags stripped, squeezed, 20 to 160 characters, once by their first 60, at most six a file."""
     from pyspark.sql import Window
 
-    feeds = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("feed"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<(?:item|entry)\b.*?</(?:item|entry)>"), F.lit(0))).alias("pos", "item"))
+    feeds = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("feed"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<(?:item|entry)\b.*?</(?:item|entry)>"), F.lit(0))).alias("pos", "item"))
     title = F.regexp_extract("item", r"(?s)<title[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</title>", 1)
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         title = F.replace(title, F.lit(a), F.lit(b))
