@@ -201,7 +201,7 @@ def verdicts(stats: DataFrame, cut: float = CUT, small: int = SMALL, features: t
     found = stats.withColumn("l", text("lang")).withColumn("s", text("source")).withColumn("none", F.lit(""))
     a, b, c = part(0), part(1), part(2)
     found = found.join(a, (found["l"] == a["l0"]) & (found["s"] == a["s0"]), "left")
-    found = found.join(b, found["l"] == b["l1"], "left").join(c, found["none"] == c["l2"], "left")
+    found = found.join(b, found["l"] == b["l1"], "left").join(F.broadcast(c), found["none"] == c["l2"], "left")  # c is one row
     found = found.withColumn("e", F.coalesce("e0", "e1", "e2")).withColumn("centre", F.col("e.centre")).withColumn("white", F.col("e.white"))
     found = found.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(distance(features))))
     return found.select(*stats.columns, "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"))
