@@ -45,6 +45,8 @@ PATTERNS = {
 ORDER = ("email", "ip", "ssn", "card", "phone", "name")
 ANY = "|".join(PATTERNS[k].replace(r"([ -]?)", r"(?<gap>[ -]?)").replace(r"\1", r"\k<gap>") for k in ORDER)
 DIGITS = r"[^0-9]"
+# Codes of countries, none of which begins another.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 
 
 def kind_of(mention: Column, before: Column) -> Column:
@@ -64,7 +66,10 @@ def entity(kind: Column, mention: Column) -> Column:
     surname = F.struct(F.lit("surname").alias("kind"), F.lower(F.element_at(parts, -1)).alias("canonical"))
     given = F.struct(F.concat(F.lit("given_"), F.right(kind, F.lit(1))).alias("kind"), F.lower(F.element_at(parts, 1)).alias("canonical"))
     names = F.when(F.size(parts) > 1, F.array(given, surname)).otherwise(F.array(surname))
-    return F.when(kind.startswith("name"), names).when(kind == "email", one(kind, F.lower(mention))).when(kind == "ip", one(kind, mention)).otherwise(one(kind, F.regexp_replace(mention, DIGITS, "")))
+    code = F.regexp_extract(mention, COUNTRY, 0)
+    own = F.regexp_replace(F.substring(mention, F.length(code) + 1, F.length(mention)), DIGITS, "")
+    phone = F.when(code == "", own).otherwise(F.concat_ws(" ", code, own))
+    return F.when(kind.startswith("name"), names).when(kind == "email", one(kind, F.lower(mention))).when(kind == "ip", one(kind, mention)).when(kind == "phone", one(kind, phone)).otherwise(one(kind, F.regexp_replace(mention, DIGITS, "")))
 
 
 def digest(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
@@ -126,7 +131,7 @@ def part_surrogate(key: str, kind: Column, mention: Column, canonical: Column, a
     """The surrogate of an entity as spelled in ``mention``."""
     hexes = digest(key, kind, canonical, attempt)
     octets = F.concat_ws(".", *[(number(hexes, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
-    country = F.length(F.regexp_extract(mention, r"^\+[0-9]{1,3}(?=[ .(-])", 0))
+    country = F.length(F.regexp_extract(mention, COUNTRY, 0))
     return F.when(kind == "email", email(mention, hexes)).when(kind == "ip", octets).when(kind == "card", card(mention, hexes)).when(kind == "phone", spelled(mention, hexes, country)).when(kind == "ssn", spelled(mention, hexes, F.lit(0))).otherwise(name_part(kind, mention, hexes))
 
 
@@ -155,7 +160,7 @@ def settled(key: str, entities: DataFrame, most: int = 50) -> DataFrame:
     """Attempts beyond the first, (kind, canonical, attempt), after which all surrogates differ from each other and from all entities."""
     now = stored(entities.select("kind", "canonical").distinct().withColumn("attempt", F.lit(0)), "privacy-entities")
     real = now.select("kind", F.col("canonical").alias("s"), F.lit(True).alias("real"))
-    plain = F.when(F.col("kind").isin("email", "surname", "given_f", "given_m"), F.lower("made")).when(F.col("kind") == "ip", F.col("made")).otherwise(F.regexp_replace("made", DIGITS, ""))
+    plain = F.when(F.col("kind").isin("email", "surname", "given_f", "given_m"), F.lower("made")).when(F.col("kind").isin("ip", "phone"), F.col("made")).otherwise(F.regexp_replace("made", DIGITS, ""))
     for _ in range(most):
         made = now.withColumn("made", part_surrogate(key, F.col("kind"), F.col("canonical"), F.col("canonical"), F.col("attempt"))).select("kind", "canonical", "attempt", plain.alias("s"))
         # who came first keeps the surrogate, so that what is settled stays settled

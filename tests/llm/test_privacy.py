@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import privacy
 from marlstone.llm.privacy import op6_privacy, pseudonymise
@@ -77,3 +78,16 @@ def test_query(spark, sf):
         mask = lambda t: re.sub(r"\d+\.\d+\.\d+\.\d+|[A-Za-z0-9._%+-]+@\S+|[0-9]", "#", t)
         assert mask(old) == mask(r["text"])
     assert some
+
+
+def test_phones_are_compared_as_written(spark):
+    """The surrogate that settled() compares is the canonical form of the one in the text."""
+    phones = [f"+{c} (499) 555-{n}" for c in (1, 49, 353) for n in range(6500, 6510)] + ["555-010-1234", "+1499 555 6500"]
+    df = spark.createDataFrame([("phone", p) for p in phones], "kind string, mention string")
+    e = privacy.entity(df["kind"], df["mention"])[0]
+    written = privacy.part_surrogate(privacy.KEY, df["kind"], df["mention"], e["canonical"], F.lit(0))
+    made = privacy.part_surrogate(privacy.KEY, df["kind"], e["canonical"], e["canonical"], F.lit(0))
+    found = df.select("mention", e["canonical"].alias("canonical"), written.alias("written"), made.alias("made"), privacy.entity(df["kind"], written)[0]["canonical"].alias("again")).collect()
+    assert all(r["made"] == r["again"] != r["canonical"] for r in found)
+    assert all(r["written"].split(" ")[0] == r["mention"].split(" ")[0] for r in found[:-2])
+    assert found[0]["canonical"] == found[-1]["canonical"] == "+1 4995556500"
