@@ -118,12 +118,14 @@ def email(mention: Column, hexes: Column) -> Column:
     return F.concat(spelled(F.substring(mention, F.lit(1), F.length(mention) - F.length(top)), hexes, F.lit(0)), top)
 
 
-def name_part(kind: Column, part: Column, hexes: Column) -> Column:
+def name_part(kind: Column, part: Column, hexes: Column, attempt: Column) -> Column:
+    """Three syllables, and one more for each attempt beyond the first, so that there are always enough names."""
     cyrillic = part.rlike(r"\p{IsCyrillic}")
-    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (number(hexes, F.lit(i)) % 16) + 1)
-    made = lambda names, n: F.concat(*[pick(names, i) for i in range(n)])
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (number(hexes, i) % 16) + 1)
+    more = lambda names: F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(3), attempt + 2), lambda i: pick(names, i)), "")).otherwise("")
+    made = lambda names: F.concat(*[pick(names, F.lit(i)) for i in range(3)], more(names))
     ending = lambda f, m, s: F.when(kind == "given_f", f).when(kind == "given_m", m).otherwise(s)
-    low = F.when(cyrillic, F.concat(made(CYRILLIC, 3), ending("на", "мир", "ров"))).otherwise(F.concat(made(LATIN, 3), ending("na", "rik", "man")))
+    low = F.when(cyrillic, F.concat(made(CYRILLIC), ending("на", "мир", "ров"))).otherwise(F.concat(made(LATIN), ending("na", "rik", "man")))
     return F.when((F.length(part) > 1) & (F.upper(part) == part), F.upper(low)).otherwise(F.initcap(low))
 
 
@@ -132,7 +134,7 @@ def part_surrogate(key: str, kind: Column, mention: Column, canonical: Column, a
     hexes = digest(key, kind, canonical, attempt)
     octets = F.concat_ws(".", *[(number(hexes, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
     country = F.length(F.regexp_extract(mention, COUNTRY, 0))
-    return F.when(kind == "email", email(mention, hexes)).when(kind == "ip", octets).when(kind == "card", card(mention, hexes)).when(kind == "phone", spelled(mention, hexes, country)).when(kind == "ssn", spelled(mention, hexes, F.lit(0))).otherwise(name_part(kind, mention, hexes))
+    return F.when(kind == "email", email(mention, hexes)).when(kind == "ip", octets).when(kind == "card", card(mention, hexes)).when(kind == "phone", spelled(mention, hexes, country)).when(kind == "ssn", spelled(mention, hexes, F.lit(0))).otherwise(name_part(kind, mention, hexes, attempt))
 
 
 def attempt_of(entity: Column, attempts: Column | None) -> Column:

@@ -91,3 +91,12 @@ def test_phones_are_compared_as_written(spark):
     assert all(r["made"] == r["again"] != r["canonical"] for r in found)
     assert all(r["written"].split(" ")[0] == r["mention"].split(" ")[0] for r in found[:-2])
     assert found[0]["canonical"] == found[-1]["canonical"] == "+1 4995556500"
+
+
+def test_more_names_than_three_syllables_give(spark):
+    names = sorted({"".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(0, 17576, 3)})
+    entities = spark.createDataFrame([("surname", n) for n in names], "kind string, canonical string")
+    late = privacy.settled(privacy.KEY, entities)
+    attempts = entities.join(late, ["kind", "canonical"], "left").select("canonical", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    made = [r[0].lower() for r in attempts.select(privacy.part_surrogate(privacy.KEY, F.lit("surname"), F.col("canonical"), F.col("canonical"), F.col("attempt"))).collect()]
+    assert len(names) > 5000 and len(set(made)) == len(names) and not set(made) & set(names)
