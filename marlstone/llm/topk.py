@@ -27,12 +27,24 @@ CANDIDATES, QUERIES = 32_768, 512
 class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        most = float(np.abs(vectors).max(initial=0)) ** 2 * vectors.shape[1]
-        self.kind = np.float32 if most < 2**24 else np.float64  # sums of whole numbers are exact below 2**24 or 2**53
-        self.ids, self.vectors = ids[order], vectors[order].astype(self.kind)
-        self.buffer = np.empty((2048, vectors.shape[1]), self.kind)
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").astype(np.int32).T.copy()
-        self.sorted = np.take_along_axis(self.vectors, self.order.T, axis=0).T.copy()
+        self.ids, self.whole = ids[order], vectors[order].astype(np.int64)
+        self.most = int(np.abs(self.whole).max(initial=0))
+        self.order = np.argsort(self.whole, axis=0, kind="stable").astype(np.int32).T.copy()
+        self.forms = {}
+        self.use(np.float32)
+
+    def use(self, kind: type) -> None:
+        """Vectors and lists in this kind of number; each kind is made once."""
+        if kind not in self.forms:
+            vectors = self.whole.astype(kind)
+            self.forms[kind] = vectors, np.take_along_axis(vectors, self.order.T, axis=0).T.copy(), np.empty((2048, vectors.shape[1]), kind)
+        self.kind = kind
+        self.vectors, self.sorted, self.buffer = self.forms[kind]
+
+    def kind_for(self, query: np.ndarray) -> type:
+        """Sums of whole numbers are exact in single precision below 2**24, in double below 2**53."""
+        most = int(np.abs(query.astype(np.int64)).max(initial=0)) * self.most * len(query)
+        return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
     def score(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Random access, through a buffer that stays in the processor's cache."""
@@ -44,6 +56,7 @@ class SortedLists:
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the k best (ties by id), and how many candidates got a score."""
+        self.use(self.kind_for(query))
         n, query = len(self.ids), query.astype(self.kind)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = np.zeros(n, bool)

@@ -25,6 +25,16 @@ def test_threshold_algorithm(seed):
         assert list(zip(a.tolist(), s.astype(int).tolist())) == brute(ids, v, ids[i], v[i], 20)
 
 
+@pytest.mark.parametrize("large", [100_000, 16_000_000])
+def test_query_of_larger_norm_than_its_block(large):
+    rng = np.random.default_rng(1)
+    v, queries = rng.integers(-40, 41, size=(400, 64)), rng.integers(-large, large + 1, size=(20, 64))
+    lists = SortedLists(np.arange(400), v)
+    for q in queries:
+        a, s, _ = lists.top(-1, q, 50)
+        assert list(zip(a.tolist(), s.astype(int).tolist())) == brute(np.arange(400), v, -1, q, 50)
+
+
 def test_stops_early_where_the_bound_allows():
     rng = np.random.default_rng(0)
     v = rng.integers(0, 3, size=(5000, 4))
