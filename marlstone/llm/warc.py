@@ -9,8 +9,9 @@ The reader checks each record: version line, header block, length, the blank lin
 check it searches for the next version line or, in compressed files, the next gzip member, goes on from there, and logs
 the bytes between as a gap with the reason. Every byte of a file is in a record or in a gap.
 
-Nulls count as empty payloads and empty target URIs; rows with equal payloads and ids are written each; an empty table
-gives an empty archive; other columns are ignored.
+Nulls count as empty payloads and empty target URIs; rows without an id are responses; rows with equal payloads and ids
+are written each, and are responses if that id is the largest; an empty table gives an empty archive; other columns are
+ignored. A payload may have up to 2 GB less its headers, which is what a Spark string and the reader can hold.
 """
 
 from __future__ import annotations
@@ -25,27 +26,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import Members, shared_dir, stored, table
 
 LEAST, PROFILE = 1000, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of payload that a part file is meant to hold.
-PART_BYTES = 8_000_000
+#: Bytes of payload that a part file holds at most, unless one record alone has more.
+PART_BYTES = 128_000_000
+#: Payloads of up to so many bytes share files; the limit on records of a file follows. Larger ones have a file each.
+SIZES = (64_000, 4_000_000)
+
+
+def digests(pages: DataFrame, id_col: str, url_col: str | None, payload_col: str) -> DataFrame:
+    text = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
+    url = [F.regexp_replace(F.coalesce(pages[url_col], F.lit("")), r"[\r\n]", " ").alias("url")] if url_col else []
+    return pages.select(pages[id_col].alias("id"), *url, F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).cast("long").alias("bytes"), text.alias("payload"))
 
 
 def decide(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """(id, digest, bytes, refers_to): refers_to is the response's id for revisits, else null."""
-    text = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
-    own = stored(pages.select(pages[id_col].alias("id"), F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).cast("long").alias("bytes")), "warc-digests")
-    last = own.where((F.col("bytes") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.max("id").alias("last"), F.min("id").alias("first")).where("last > first").drop("first")
-    return own.join(last, "digest", "left").select("id", "digest", "bytes", F.when((F.col("last") != F.col("id")) & (F.col("bytes") >= least), F.col("last")).alias("refers_to"))
+    own = stored(digests(pages, id_col, None, payload_col).drop("payload"), "warc-digests")
+    return own.join(repeated(own, least), "digest", "left").select("id", "digest", "bytes", F.when((F.col("last") != F.col("id")) & (F.col("bytes") >= least), F.col("last")).alias("refers_to"))
+
+
+def repeated(own: DataFrame, least: int) -> DataFrame:
+    """(digest, last) of payloads of ``least`` bytes or more that rows of different ids share."""
+    return own.where((F.col("bytes") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.max("id").alias("last"), F.min("id").alias("first")).where("last > first").drop("first")
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
-    """Plain WARC 1.1 files under ``path``, a record for each row."""
-    revisits = decide(pages, least, id_col, payload_col).where("refers_to is not null").select("id", "digest", "refers_to").distinct()
-    text = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
-    rows = pages.select(pages[id_col].alias("id"), F.regexp_replace(F.coalesce(pages[url_col], F.lit("")), r"[\r\n]", " ").alias("url"), text.alias("payload"), F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).alias("bytes"))
-    rows = rows.join(revisits, ["id", "digest"], "left")
+    """Plain WARC 1.1 files under ``path``, a record for each row.
+
+    Payloads hardly move: rows whose digest is surely not repeated are written where they are read; of the rest, what is
+    a revisit is decided on digests alone, and only rows that may be responses are joined with their payloads."""
+    own = stored(digests(pages, id_col, None, payload_col).drop("payload"), "warc-digests")
+    twice = stored(repeated(own, least), "warc-repeated")
+    rows = digests(pages, id_col, url_col, payload_col)
+    keys = stored(twice.select(F.xxhash64("digest").alias("k")), "warc-keys")
+    if keys.limit(1).count():
+        filter_of = Members(keys)
+        may = (F.col("bytes") >= least) & F.col("id").isNotNull() & filter_of.maybe(F.xxhash64("digest"))
+        slim = rows.drop("payload").where(may).join(twice.hint("shuffle_hash"), "digest", "left")
+        again = F.coalesce(F.col("last") != F.col("id"), F.lit(False))
+        revisits = slim.where(again).select("id", "url", "digest", "bytes", F.lit("").alias("payload"), F.col("last").alias("refers_to"))
+        which = stored(own.where(may).join(twice.hint("shuffle_hash"), "digest", "left").where(~again).select("id", "digest").distinct(), "warc-responses")
+        chosen = Members(stored(which.select(F.xxhash64("id", "digest").alias("k")), "warc-keys"))
+        moved = rows.where(may & chosen.maybe(F.xxhash64("id", "digest"))).join(which.hint("shuffle_hash"), ["id", "digest"], "left_semi")
+        none = F.lit(None).cast(rows.schema["id"].dataType).alias("refers_to")
+        cols = ["id", "url", "digest", "bytes", "payload"]
+        rows = rows.where(~may | may.isNull()).select(*cols, none).unionByName(moved.select(*cols, none)).unionByName(revisits)
+    else:
+        rows = rows.withColumn("refers_to", F.lit(None).cast(rows.schema["id"].dataType))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     named = lambda c: F.concat(F.lit("<urn:row:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     again = F.col("refers_to").isNotNull()
@@ -55,8 +84,17 @@ def write(pages: DataFrame, path: str, least: int = LEAST, id_col: str = "page_i
         F.when(again, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", named(F.col("refers_to"))), F.lit("WARC-Truncated: length\r\n"))).otherwise(""),
         line("Content-Type", F.lit("text/html;charset=utf-8")), line("Content-Length", F.when(again, "0").otherwise(F.col("bytes").cast("string"))), F.lit("\r\n"),
     )
-    record = rows.select(F.concat(head, F.when(again, "").otherwise(F.col("payload"))).alias("value"))
-    record.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 2000).text(path)
+    size = F.when(again, 0).otherwise(F.col("bytes"))
+    kind = F.lit(len(SIZES))
+    for i, most in reversed(list(enumerate(SIZES))):
+        kind = F.when(F.col("bytes") <= most, i).otherwise(kind)
+    met = {r["kind"] for r in own.select(kind.alias("kind")).distinct().collect()} | {0}  # three values at most
+    for i in sorted(met):
+        low, high = ([-1, *SIZES][i], [*SIZES, None][i])
+        part = rows.where((size > low) & (size <= high if high else F.lit(True)))
+        record = part.select(F.concat(head, F.when(again, "").otherwise(F.col("payload"))).alias("value"))
+        most = PART_BYTES // high if high else 1
+        record.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -72,20 +110,37 @@ def digest_fails(value: str, payload: bytes) -> bool:
     return given.lower() != own.hexdigest() and given.upper() != base64.b32encode(own.digest()).decode()
 
 
-def record_at(data: bytes, at: int) -> tuple[dict | None, bytes, int, str]:
+class Blanks:
+    """Where the next blank line begins and ends; searched for once, as questions come in order."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found, self.asked = data, None, -1
+
+    def after(self, at: int):
+        if self.asked < 0 or (self.found is not None and self.found.start() < at):
+            self.found = _END.search(self.data, at)
+        self.asked = at
+        return self.found
+
+
+def record_at(data: bytes, at: int, blanks: Blanks | None = None) -> tuple[dict | None, bytes, int, str]:
     """Headers, payload and end of the record that begins at ``at``; or null and what is wrong."""
     first = _VERSION.match(data, at)
     if not first:
         return None, b"", at, "no version line"
-    blank = _END.search(data, first.end() - 2)
+    blank = (blanks or Blanks(data)).after(first.end() - 2)
     if not blank:
         return None, b"", at, "headers don't end"
     headers: dict[str, str] = {}
-    for line in data[first.end() : blank.start()].splitlines():
-        name, colon, value = line.partition(b":")
-        if not colon:
+    line = first.end()
+    while line < blank.start():
+        end = data.find(b"\n", line, blank.start())
+        end = blank.start() if end < 0 else end
+        colon = data.find(b":", line, end)
+        if colon < 0:
             return None, b"", at, "header without colon"
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        headers[data[line:colon].strip().lower().decode("latin-1")] = data[colon + 1 : end].strip().decode("utf-8", "replace")
+        line = end + 1
     if not (length := headers.get("content-length", "")).isdecimal():
         return None, b"", at, "no length"
     end = blank.end() + int(length)
@@ -104,9 +159,9 @@ def record_at(data: bytes, at: int) -> tuple[dict | None, bytes, int, str]:
 
 def salvage_plain(data: bytes):
     """Yields ("record", start, end, headers, payload) and ("gap", start, end, reason, b"") in order; they cover ``data``."""
-    at, bad, why = 0, -1, ""
+    at, bad, why, blanks = 0, -1, "", Blanks(data)
     while at < len(data):
-        headers, payload, end, wrong = record_at(data, at)
+        headers, payload, end, wrong = record_at(data, at, blanks)
         if headers is not None:
             if bad >= 0:
                 yield "gap", bad, at, why, b""
@@ -122,19 +177,25 @@ def salvage_plain(data: bytes):
         yield "gap", bad, len(data), why, b""
 
 
+def member_at(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+    """What the gzip member that begins at ``at`` holds, its length, and what is wrong. No more of the file is looked at."""
+    if data[at : at + 3] != b"\x1f\x8b\x08":
+        return b"", 0, "no gzip member"
+    d, out, fed = zlib.decompressobj(31), [], at
+    try:
+        while not d.eof and fed < len(data):
+            out.append(d.decompress(data[fed : fed + step]))
+            fed = min(fed + step, len(data))
+    except zlib.error:
+        return b"", 0, "member damaged"
+    return (b"".join(out), fed - at - len(d.unused_data), "") if d.eof else (b"", 0, "member cut off")
+
+
 def salvage_members(data: bytes):
     """The same for files of gzip members. Offsets are those of the compressed file; a member's own gaps give the member's."""
     at, bad, why = 0, -1, ""
     while at < len(data):
-        wrong, out, used = "no gzip member", b"", 0
-        if data[at : at + 3] == b"\x1f\x8b\x08":
-            d = zlib.decompressobj(31)
-            try:
-                out = d.decompress(data[at:])
-                wrong = "" if d.eof else "member cut off"
-                used = len(data) - at - len(d.unused_data)
-            except zlib.error:
-                wrong = "member damaged"
+        out, used, wrong = member_at(data, at)
         if not wrong:
             if bad >= 0:
                 yield "gap", bad, at, why, b""
@@ -194,7 +255,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
     row = lambda c: F.regexp_extract(c, "^<urn:row:(-?[0-9]+)>$", 1)
-    back = read(spark, path, with_payload=False).where("kind = 'record'")
+    whole = F.when(F.col("kind") == "record", F.lit(True)).otherwise(F.raise_error(F.concat_ws(" ", F.lit("gap in"), "file", "start", "reason")).cast("boolean"))
+    back = read(spark, path, with_payload=False).where(whole)
     return back.select(row("record_id").cast("long").alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", F.when(F.col("refers_to").isNotNull(), row("refers_to").cast("long")).alias("refers_to"))
 
 

@@ -2,6 +2,8 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
 from marlstone.llm import warc
 
 
@@ -74,3 +76,28 @@ def test_round_trip(spark, tmp_path):
         assert bytes(r["payload"]) == (b"" if last else data)
     warc.write(df.limit(0), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_revisits_through_filters_are_those_of_a_plain_rule(spark, tmp_path):
+    """Many repeated payloads, so that filters let some wrong rows through; ids that repeat; payloads of all three sizes of files."""
+    rng = random.Random(2)
+    pool = [rng.choice("abc") * rng.choice([10, 999, 1000, 1500]) + str(i % 400) for i in range(900)] + ["L" * 70_000, "M" * 4_100_000]
+    rows = [(i if rng.random() < 0.98 else rng.choice([None, 7]), "u", rng.choice(pool[:-2]) if i % 50 else pool[-1 - i // 50 % 2]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(df, str(tmp_path / "w"))
+    found = warc.read(spark, str(tmp_path / "w"), with_payload=False).collect()
+    last = {}
+    for i, _, html in rows:
+        if i is not None and len(html) >= 1000:
+            last[html] = max(i, last.get(html, i))
+    name = lambda i: f"<urn:row:{'' if i is None else i}>"
+    want = [(name(i), hashlib.sha1(h.encode()).hexdigest(), name(last[h]) if i is not None and last.get(h, i) != i else None) for i, _, h in rows]
+    assert sorted(want, key=str) == sorted(((r["record_id"], r["payload_digest"][5:], r["refers_to"]) for r in found), key=str)
+
+
+def test_a_gap_stops_the_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(warc.uuid, "uuid4", lambda: type("U", (), {"hex": "x"}))
+    monkeypatch.setattr(warc, "write", lambda pages, path: (tmp_path / "warc-x").write_bytes(record(1, b"a") + b"noise"))
+    with pytest.raises(Exception, match="gap in"):
+        warc.op3_warc(spark, "/root/testdata/sf0.001").collect()
