@@ -9,7 +9,7 @@ from marlstone.llm.lines import dedup, op10_lines
 
 def tokens(line):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
 
 
 def plainly(rows):
@@ -62,11 +62,27 @@ def test_cases(spark):
     found = dedup(df)
     assert found.columns == df.columns
     got = sorted(((r["doc_id"] or 99, r["text"]) for r in found.collect()), key=str)
-    want = [(1, f"{a}\n{b}"), (2, None), (3, ""), (4, "\n\n"), (5, "short line"), (6, "short line\nshort line"), (6, ""), (7, ""), (7, ""), (99, "new words that nobody else has"), (8, "x " * 60_000)]
+    want = [(1, f"{a}\n{b}"), (2, None), (3, ""), (4, "\n\n"), (5, "short line"), (6, ""), (6, ""), (7, ""), (7, ""), (99, "new words that nobody else has"), (8, "x " * 60_000)]
     assert got == sorted(want, key=str)
     assert dedup(df.limit(0)).count() == 0
 
 
+def test_one_line_that_a_third_of_all_rows_hold(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MANY", 3)
+    texts = [t + "\nAll rights reserved.\nthis one line of seven words stands everywhere" * (i % 3 == 0) for i, t in enumerate(corpus(4))]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in dedup(df).collect()) == sorted(plainly(rows))
+
+
+def test_columns_may_be_called_anything(spark):
+    cols = ["doc_id", "text", "__i", "__t", "__id", "__h", "__gone", "s", "h", "no", "line"]
+    df = spark.createDataFrame([(1, "a\nb", *range(9)), (2, "b\nc", *range(9))], ", ".join(f"`{c}` {'string' if c == 'text' else 'long'}" for c in cols))
+    found = dedup(df, count_col="how_many", gone_col="went")
+    assert found.columns == [*cols, "how_many", "went"]
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a\nb", *range(9), 2, []), (2, "c", *range(9), 2, [0])]
+
+
 def test_runs_no_python_on_executors(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(corpus(9, 20))), "doc_id long, text string")
     plans = []
