@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, phrase_words, quoted, telling, words
 from ..plans.dialect import DuckDB, SparkSQL, frame, query
+from ..plans.storage import stored
 
 #: Counts in the table of rarity, whatever the size of the corpus.
 SLOTS = 1 << 16
@@ -120,17 +118,6 @@ opens AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.six = b.six
 SELECT x AS first_id, y AS doc_id FROM near UNION SELECT x, y FROM opens"""
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the folder that spark.checkpoint.dir names, or one of its own where none is named, and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        spark.sparkContext.setCheckpointDir(folder := "file://" + tempfile.mkdtemp(prefix="marlstone-corpus-"))
-    path = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ranked_trigrams(docs: DataFrame, classes: bytes | None = None) -> DataFrame:
     """(doc_id, t): distinct trigrams of the words, by language and source, as hashes of 56 bits: as they come, or in order with the rarity in the upper byte if ``classes`` are given."""
     hashed = docs.select("doc_id", F.xxhash64("lang", "source").alias("k"), F.transform(F.split("joined", " "), lambda w: F.xxhash64(w)).alias("w"))
@@ -154,7 +141,7 @@ def near_dup_trigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = SparkSQL(sf_dir)
     worded = spark.sql(f"SELECT doc_id, lang, source, {d.text('w', ' ')} AS joined FROM (SELECT doc_id, lang, source, {words(d, 'text')} AS w FROM {d.t('documents')} WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL) x")
-    docs = written(worded.groupBy("lang", "source", "joined").agg(F.min("doc_id").alias("doc_id")))
+    docs = stored(worded.groupBy("lang", "source", "joined").agg(F.min("doc_id").alias("doc_id")), "corpus")
     # explode_outer: a filter inferred from explode would be pushed below and work the hashes out anew
     counts = ranked_trigrams(docs).select(F.explode_outer("t").alias("x")).where("x is not null").groupBy(F.pmod("x", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     classes = bytearray([1]) * SLOTS
@@ -166,14 +153,14 @@ def near_dup_trigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("short", F.col("i") < F.col("m") - F.ceil(F.lit(2) * F.col("m") / 3) + 1)
     token = Window.partitionBy("token")
     shared = rows.withColumn("n", F.count(F.lit(1)).over(token)).withColumn("some", F.max("short").over(token)).where("n > 1 AND some").select("token", "doc_id", "m", "i", "short")
-    shared = written(shared)
+    shared = stored(shared, "corpus")
     # x is the smaller; what both have beyond this common trigram is bounded by what is left of either
     left = 1 + F.least(F.col("x.m") - F.col("x.i") - 1, F.col("y.m") - F.col("y.i") - 1)
     order = F.struct("x.m", "x.doc_id") < F.struct("y.m", "y.doc_id")
     cond = (F.col("x.token") == F.col("y.token")) & order & (2 * F.col("x.m") >= F.col("y.m")) & (3 * left >= F.col("x.m") + F.col("y.m"))
-    pairs = written(shared.where("short").alias("x").join(shared.alias("y").hint("merge"), cond).select(F.col("x.doc_id").alias("x"), F.col("y.doc_id").alias("y")).distinct())
+    pairs = stored(shared.where("short").alias("x").join(shared.alias("y").hint("merge"), cond).select(F.col("x.doc_id").alias("x"), F.col("y.doc_id").alias("y")).distinct(), "corpus")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    sets = written(ranked_trigrams(docs.join(wanted, "doc_id"), classes))
+    sets = stored(ranked_trigrams(docs.join(wanted, "doc_id"), classes), "corpus")
     both = F.size(F.array_intersect("tx", "ty"))
     near = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("t").alias("tx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("t").alias("ty")), "y").where(3 * both >= F.size("tx") + F.size("ty"))
     starts = docs.select("doc_id", "lang", "source", F.slice(F.split("joined", " "), 1, 6).alias("six")).where("size(six) = 6")

@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.dialect import frame
+from ..plans.storage import shared_dir
 
 #: Rows later than this are dropped; a window or session is published once it ends before the newest row less this.
 DELAY, GAP = "45 minutes", "30 minutes"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under the shared one (spark.checkpoint.dir), or under one of its own where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="marlstone-stream-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
