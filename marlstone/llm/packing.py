@@ -9,10 +9,13 @@ tasks' counts, so that a length that a third of all pieces have is spread over a
 
 Null texts count as empty. An empty document is its end token. Ties (equal lengths) fall in the order of the stored
 pieces; repeated rows are packed each; an empty table gives an empty result; null ids are kept; other columns are ignored.
+Texts of any length are tokenised whole and cut. Ids are those of the plain library call: special tokens that stand in a
+text become their ids.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -122,7 +125,7 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 def words_of(path: str):
-    """The tokenizer and the ids of words met so far (little-endian, 4 bytes an id), kept in a worker between tasks."""
+    """The tokenizer, the ids of words met so far (little-endian, 4 bytes an id), kept in a worker between tasks, and a pattern of its special tokens."""
     takes_turn("packing", _TOKENIZERS.clear)
     if path not in _TOKENIZERS:
         import os
@@ -133,8 +136,8 @@ def words_of(path: str):
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are kept as little-endian 4-byte numbers")
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _TOKENIZERS[path] = t, {}
+        marks = tuple(x.content.encode() for x in t.get_added_tokens_decoder().values())
+        _TOKENIZERS[path] = t, {}, re.compile(b"|".join(map(re.escape, marks)) if marks else b"(?!)", re.IGNORECASE)
     return _TOKENIZERS[path]
 
 
@@ -142,7 +145,11 @@ def words_of(path: str):
 MARKS = b".,;:!?%$#*&|()"
 
 
-def parts_of(word: bytes) -> tuple[bytes, ...]:
+def parts_of(word: bytes, special: re.Pattern) -> tuple[bytes, ...]:
+    """What may be encoded for itself. A word that holds a special token, in letters of any case, stays as it is: only its
+    own spelling is one, and it has an id of its own."""
+    if special.search(word):
+        return (word,)
     base = word.rstrip(MARKS)
     if base and len(base) < len(word) and base.decode()[-1].lower()[-1].isalpha():  # one letter becomes a letter and a mark
         return base.lower(), word[len(base) :]
@@ -151,13 +158,13 @@ def parts_of(word: bytes) -> tuple[bytes, ...]:
 
 def encode_all(path: str, texts: list[str]) -> list[bytes]:
     """The ids of each text. The vocabulary drops white space and never looks across it, so that words are encoded once."""
-    t, known = words_of(path)
+    t, known, special = words_of(path)
     split = [x.encode().split() if x else [] for x in texts]
     if len(known) > MAX_WORDS:
         for w in list(islice(reversed(known), len(known) // 2)):  # frequent words come early and stay
             del known[w]
     new = set().union(*split).difference(known)
-    cut = {w: parts_of(w) for w in new}
+    cut = {w: parts_of(w, special) for w in new}
     parts = list({p for x in cut.values() for p in x}.difference(known))
     for p, e in zip(parts, t.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
         known[p] = array("I", e.ids).tobytes()

@@ -69,8 +69,7 @@ def test_documents(spark):
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [None, "", "a", "The  quick\tbrown\nfox's", "x " * 100, "café   café   1234 <|endoftext|>", "x " * 100, "ΣΣ \U0001f642"]
+    texts = [None, "", "a", "The  quick\tbrown\nfox's", "x " * 100, "café   café   1234 <|endoftext|>", "x " * 100, "ΣΣ \U0001f642", "a<|endoftext|>b <|startoftext|><|EndOfText|>, the<|endoftext|>."]
     df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(texts)] + [(None, "b", "c")], "doc_id long, text string, length string")
     found = rows(pack_documents(df, path, 16))
     check(found, 16)
@@ -119,9 +118,29 @@ def test_words_are_encoded_as_in_the_whole_text():
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rng = random.Random(8)
-    some = list("abcÀéßÅİΣςK0129٣½ \t\n\r\x0b\x0c\x1c\x1f\x85  　'’.,;:!?%$#*&|()<>-_̸́̊‍漢🙂") + ["'s", "'ll", " ", " "]
+    some = list("abcÀéßÅİΣςK0129٣½ \t\n\r\x0b\x0c\x1c\x1f\x85  　'’.,;:!?%$#*&|()<>-_̸́̊‍漢🙂") + ["'s", "'ll", " ", " ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]
     texts = ["".join(rng.choice(some) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
     for x, got in zip(texts, packing.encode_all(path, texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_query_packs_as_piece_by_piece(spark):
+    """Whole query: pieces are those of the library, and there are as many sequences as best-fit decreasing over single pieces makes."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    sf, t = "/root/testdata/sf0.001", Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want, lengths = set(), []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            part = ids[a : a + 4096]
+            want.add((r["doc_id"], k, a, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes())))
+            lengths.append(len(part))
+    found = rows(packing.op1_packing(spark, sf))
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found} == want and len(found) == len(want)
+    assert check(found, 4096) == len(one_by_one(lengths, 4096))
