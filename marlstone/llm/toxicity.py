@@ -3,8 +3,11 @@
 Words become symbols: insult, threat, target (the second person), negation, reporting verb, quotation mark, other. Five
 small transducers read the symbols of a clause: one counts insults, one threats, one sees whether somebody is addressed,
 one whether what comes next is negated, one whether it is reported or quoted. They are composed: a state of the whole is
-a state of each, made when first needed. Its outputs sort the weights of matched clauses into kinds (plain, addressed,
-negated, reported, and threats likewise); a word alone has no say. A logistic regression over the kinds gives the score.
+a state of each, made when first needed. Its outputs sort the weights of a clause's matches into kinds (plain, addressed,
+negated, reported, and threats with and without a target), and FACTORS says what a kind counts: an insult at somebody
+more than one about somebody, a negated or reported one little, a threat nothing without a target. A text's score is a
+logistic function that grows with the sum over its clauses, and with that sum for each word; so negating or quoting a
+clause always lowers the score.
 
 The insult lexicon is learned: of a bounded sample of labelled texts (FIT_ROWS rows, in hash order), words and word
 beginnings are counted by document and label; those that toxic documents hold far more often become stems weighted by
@@ -31,8 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored, table, takes_turn
 
-#: Labelled rows of either label that a fit reads at most, stems it keeps at most, least toxic documents of a stem, least log-odds.
-FIT_ROWS, STEMS, SUPPORT, ODDS = 10_000, 4_000, 4, 2.0
+#: Labelled rows of either label that a fit reads at most, least toxic documents of a stem, least log-odds.
+FIT_ROWS, SUPPORT, ODDS = 10_000, 4, 2.0
 PREFIXES = range(4, 9)
 
 # Function words of English, German, French and Spanish.
@@ -45,6 +48,8 @@ QUOTES = "\"'“”„«»‘’"
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 FIXED = {w: s for s, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words}
 KINDS = ("plain", "addressed", "negated", "reported", "threat", "soft_threat")
+#: The weights of the grammar: what a match of each kind counts.
+FACTORS = (1.0, 1.5, 0.15, 0.15, 3.0, 0.0)
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”„«»]")
 CLAUSE = re.compile(r"[.;:!?\n\r]+|,(?=\s)")
 #: Words that a negation reaches.
@@ -139,10 +144,24 @@ class Grammar:
 
 
 def vector(kinds: list[float]) -> list[float]:
-    """What the regression sees."""
-    n = max(kinds[-1], 1.0)
-    insults = sum(kinds[:4])
-    return [1.0, *(math.log1p(x) for x in kinds[:-1]), math.sqrt(insults / n), math.log1p(insults), math.log(n)]
+    """What the regression sees; all but the constant grow with the weight of the matched clauses."""
+    weight = sum(f * x for f, x in zip(FACTORS, kinds, strict=False))
+    return [1.0, math.log1p(weight), math.sqrt(weight / max(kinds[-1], 1.0))]
+
+
+def rising(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Logistic weights, none but the constant below zero: columns that would get such are left out one by one."""
+    use = list(range(x.shape[1]))
+    while True:
+        w = logistic(x[:, use], y)
+        low = min(range(1, len(use)), key=lambda i: w[i], default=0)
+        if not low or w[low] >= 0:
+            break
+        del use[low]
+    out = [0.0] * x.shape[1]
+    for i, v in zip(use, w.tolist(), strict=True):
+        out[i] = v
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -200,7 +219,7 @@ def fit(texts: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[di
         return {}, []
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
     each = own.mapInArrow(count, "stem string, n1 long, n0 long").groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    best = each.where(F.col("n1") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy(F.desc("n1"), F.desc("odds"), "stem").limit(STEMS)
+    best = each.where(F.col("n1") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= ODDS)  # of 2 * rows texts
     stems = {r["stem"]: r["odds"] for r in best.collect()}
     shape = len(vector([0.0] * (len(KINDS) + 1)))
 
@@ -212,13 +231,13 @@ def fit(texts: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[di
 
     seen = own.mapInArrow(see, "x array<double>, y int").toPandas()  # 2 * rows short vectors at most
     x, y = np.array(seen["x"].tolist(), float).reshape(-1, shape), seen["y"].to_numpy(float)
-    return stems, logistic(x, y).tolist()
+    return stems, rising(x, y)
 
 
 def score(df: DataFrame, model: tuple[dict[str, float], list[float]], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, [carried columns,] score) of each row. A model without weights scores 0."""
     stems, weights = model
-    shared = df.sparkSession.sparkContext.broadcast((stems, weights))  # STEMS stems at most
+    shared = df.sparkSession.sparkContext.broadcast((stems, weights))  # stems of a bounded sample
     cols = df.select(df[id_col], *[df[c] for c in carry], df[text_col].alias("__text"))
     fields = cols.schema.fields[:-1]
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields] + [("score", pa.float64())])

@@ -57,3 +57,26 @@ def test_held_out_accuracy(spark):
     n = {(r["toxic"], r["predicted"]): r["count"] for r in found}
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.9
     assert n[0, 0] / (n[0, 0] + n.get((0, 1), 0)) > 0.99
+
+
+def test_negating_or_quoting_lowers_a_score(spark):
+    sf = "/root/testdata/sf0.1"
+    model = toxicity.fitted(spark, sf)
+    stem = max((k for k in model[0] if not k.endswith("*")), key=model[0].get)
+    about, at, negated, said, quoted = texts = [f"He is a {stem}.", f"You are a {stem}.", f"You are not a {stem}.", f"He said you are a {stem}.", f"The word “{stem}” is old."]
+    none = ["You are a friend.", "I kill time.", "Nothing here."]
+    threat = "I will kill you."
+    found = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(list(zip([*texts, *none, threat], [*texts, *none, threat])), "doc_id string, text string"), model).collect()}
+    assert found[at] >= found[about] > max(found[negated], found[said], found[quoted]) > found[none[0]] == found[none[1]] == found[none[2]]
+    assert found[threat] > found[none[1]]
+    assert found[at] >= 0.5 > found[none[0]]
+
+
+def test_weights_never_fall():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.c_[np.ones(400), rng.random(400), rng.random(400)]
+    y = (x[:, 1] - x[:, 2] + rng.normal(size=400) * 0.3 > 0).astype(float)
+    w = toxicity.rising(x, y)
+    assert w[1] > 0 == w[2]
