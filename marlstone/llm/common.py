@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import shared_dir, stored
+
+__all__ = ["Members", "fresh", "shared_dir", "stored", "table", "takes_turn"]
+
 #: Bits that a member filter has for each key, and bits it has at most: 4 MB in a plan. Fuller filters let more through, which the exact join behind them sorts out.
 BITS_EACH, BITS_MOST = 10, 24_000_000
 
@@ -19,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). A folder of its own only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    here = spark.sparkContext.getCheckpointDir()
-    if here is None:
-        here = "file://" + tempfile.mkdtemp(prefix="marlstone-checkpoint-")
-        spark.sparkContext.setCheckpointDir(here)
-    return here.rstrip("/")
-
-
-def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or it with underscores after it, so that no column of ``df`` is called so (in any case of letters)."""
     met = {c.lower() for c in df.columns}

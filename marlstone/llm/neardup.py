@@ -4,15 +4,17 @@
 2. Nodes that share a band key meet in a bucket. Linking each to its bucket's least node, without any check, gives
    groups outside of which no two nodes share a bucket.
 3. The nodes that share a bucket send their full sets, read again from the texts, to the tasks of their group. A task
-   holds one block of a group, or two if the group has several, so that its memory is bounded. There, node pairs of a
-   common bucket are verified in order of their sketches' agreement, and pairs that are connected already are left out:
-   a task gives at most one link less than it has nodes, however many pairs are alike.
+   holds one block of a group, or two if the group has several; blocks are dealt by hash, so that they are of equal size
+   but for chance and for single large sets. There, node pairs of a common bucket whose sizes allow it are verified in
+   order of their sketches' agreement, and pairs that are connected already are left out: a task gives at most one link
+   less than it has nodes, however many pairs are alike.
 4. Components over the links; a document's class is the least id in its component.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. Texts shorter than a shingle
 are one shingle of all their words. Texts of any length are taken whole. Repeated rows are copies of each other; rows
-without an id belong to a class like others but are never its name, and are kept only where no row of the class has one.
-An empty table gives an empty result; other columns are ignored.
+without an id belong to a class like others but are never its name; keep_one keeps one of them only where no row of the
+class has an id, and the query, which keeps by id, none. Ids are whole numbers. An empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import sketch
-from .common import stored, table
-from .graph import components
+from .common import Members, fresh, stored, table
 
-#: Nodes, and shingles, that a block holds at most (a larger node is a block of its own).
+#: Nodes, and shingles, that a block is meant to hold.
 BLOCK_NODES, BLOCK_ITEMS = 2_000, 1_500_000
-#: Pairs whose sketches agree in a smaller share than the threshold less this are not verified: more than six standard errors.
-SLACK = 0.2
 
 
 def keyed(items: np.ndarray) -> bytes:
@@ -59,10 +59,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The full sets of ``wanted`` (node, id, key), read again from one document each."""
-    text = docs.select(docs[id_col].cast("long").alias("t_id"), docs[text_col].alias("text"))
-    chosen = wanted.select("node", "id", "key").hint("shuffle_hash")
-    found = text.join(chosen, F.col("t_id").eqNullSafe(F.col("id"))).select("node", "key", "text")
+    """The full sets of ``wanted`` (node, id, h, key), read again from one document each: that of the least id and text hash."""
+    text = docs.select(docs[id_col].cast("long").alias("t_id"), F.xxhash64(docs[text_col]).alias("t_h"), docs[text_col].alias("text"))
+    may = Members(stored(wanted.select(F.xxhash64("id", "h").alias("k")), "neardup-places"))  # only documents that may be wanted are dealt out
+    text = text.where(may.maybe(F.xxhash64("t_id", "t_h")))
+    chosen = wanted.select("node", "id", "h", "key").hint("shuffle_hash")
+    found = text.join(chosen, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_h") == F.col("h"))).select("node", "key", "text")
     schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
 
     def run(it):
@@ -71,7 +73,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
                 nodes, out = [], []
                 for node, key, t in zip(*(batch.column(i).slice(at, 512).to_pylist() for i in range(3)), strict=True):
                     s = sketch.shingles(t)
-                    if keyed(s) == key:  # rows may share an id
+                    if keyed(s) == key:  # texts may share a hash
                         nodes.append(node)
                         out.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], schema=schema)
@@ -96,14 +98,12 @@ class Forest:
 
 def links_among(items: list[np.ndarray], percent: int, first: int | None = None) -> list[tuple[int, int]]:
     """Links that connect all that is connected by pairs of similarity ``percent`` or more. With ``first``, only pairs of
-    one of the first so many and one of the others. Pairs that share no band key, or whose sketches are far apart, are
-    not verified."""
+    one of the first so many and one of the others. Pairs that share no band key are not verified."""
     n = len(items)
     sketches = np.stack([sketch.sketch(s) for s in items])
     sizes = np.array([len(s) for s in items])
     keys = np.stack([sketch.bands(x) for x in sketches])
     forest, out = Forest(n), []
-    least = (percent / 100 - SLACK) * sketch.SIZE
 
     def verified(a: int, b: int) -> bool:
         x, y = items[a], items[b]
@@ -123,8 +123,6 @@ def links_among(items: list[np.ndarray], percent: int, first: int | None = None)
             continue
         agree = (sketches[others] == sketches[a]).sum(axis=1)
         for i in np.argsort(-agree, kind="stable"):
-            if agree[i] < least:
-                break
             b = int(others[i])
             if forest.root(a) != forest.root(b) and verified(a, b):
                 forest.join(a, b)
@@ -158,12 +156,13 @@ def classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col
     """(id, h, n, component, root): a hash of the text, the set's size, the least id of the document's class (null if no
     row of it has one), and a number of the class (null for empty sets)."""
     own = stored(signatures(docs, id_col, text_col), "neardup-signatures")
-    each = own.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    each = own.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    each = each.select("key", "at.id", "at.h", "n", "bands")
     nodes = stored(each.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
     keys = nodes.select("node", F.explode("bands").alias("band"))
     buckets = keys.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
     stars = stored(keys.join(buckets, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "neardup-stars")
-    grouped = stored(components(stars).select("node", F.col("root").alias("grp")).join(nodes.select("node", "id", "key", "n"), "node"), "neardup-groups")
+    grouped = stored(components(stars).select("node", F.col("root").alias("grp")).join(nodes.select("node", "id", "h", "key", "n"), "node"), "neardup-groups")
     sets = stored(sets_of(docs, grouped, id_col, text_col), "neardup-sets")
     found = components(links(grouped.select("node", "grp", "n"), sets, percent))
     labelled = nodes.select("key", "node", "id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -176,14 +175,15 @@ def classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` with all columns: one of each class, of the least id, and all rows with empty sets."""
     found = stored(classes(docs, percent, id_col, text_col), "neardup-classes")
+    t_col, id_key, h_key = (fresh(docs, c) for c in ("__t", "__id", "__h"))
     rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))
-    kept = found.where("root is not null").groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
-    keyed = docs.withColumn("__t", F.xxhash64(docs[text_col]))
-    own = keyed.join(kept.hint("shuffle_hash"), keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")), "left_semi")
+    kept = found.where("root is not null").groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.id").alias(id_key), F.col("r.h").alias(h_key))
+    keyed = docs.withColumn(t_col, F.xxhash64(docs[text_col]))
+    own = keyed.join(kept.hint("shuffle_hash"), keyed[id_col].eqNullSafe(F.col(id_key)) & (F.col(t_col) == F.col(h_key)), "left_semi")
     many = found.where("root is not null").groupBy("id", "h").count().where("count > 1").limit(1).count()
-    own = own.dropDuplicates([id_col, "__t"]) if many else own  # rows that agree in id and text
-    empty = found.where("root is null").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
-    rest = keyed.join(empty.hint("shuffle_hash"), keyed[id_col].eqNullSafe(F.col("__id")) & F.col("__t").eqNullSafe(F.col("__h")), "left_semi") if empty.limit(1).count() else None
+    own = own.dropDuplicates([id_col, t_col]) if many else own  # rows that agree in id and text
+    empty = found.where("root is null").select(F.col("id").alias(id_key), F.col("h").alias(h_key)).distinct()
+    rest = keyed.join(empty.hint("shuffle_hash"), keyed[id_col].eqNullSafe(F.col(id_key)) & F.col(t_col).eqNullSafe(F.col(h_key)), "left_semi") if empty.limit(1).count() else None
     return (own.unionByName(rest) if rest is not None else own).select(*docs.columns)
 
 

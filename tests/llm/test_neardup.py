@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 
 from marlstone.llm import neardup, sketch
-from marlstone.llm.graph import components
-from marlstone.llm.neardup import classes, links_among, op9_neardup
+from marlstone.llm.neardup import classes, keep_one, links_among, op9_neardup
+from marlstone.operators.graph import components
 
 
 def plain_set(text):
@@ -114,3 +114,10 @@ def test_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = plain_classes({i: plain_set(t) for i, t in texts.items()}, 85)
     assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in op9_neardup(spark, sf).collect()} == {i: (c, i == c) for i, c in want.items()}
+
+
+def test_many_rows_without_an_id(spark):
+    texts = [f"w{i} w{i + 1} w{i + 2} w{i + 3} w{i + 4} w{i + 5}" for i in range(0, 900, 3)] * 2
+    df = spark.createDataFrame([(None, t, 1, 2, 3) for t in texts], "doc_id long, text string, `__t` int, `__id` int, h int")
+    kept = keep_one(df)
+    assert kept.columns == df.columns and sorted(r["text"] for r in kept.collect()) == sorted(set(texts))
