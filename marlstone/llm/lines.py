@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Members, fresh, stored, table
 
-WORDS, PERCENT, SLOTS, LAST = 5, 80, 1 << 18, (1 << 63) - 1
+WORDS, PERCENT, SLOTS, LAST = 5, 80, 1 << 16, (1 << 63) - 1
 #: Nodes of more lines are salted, over so many keys.
 MANY, SALTS = 1_000, 64
 _LOW = (1 << 56) - 1
@@ -50,27 +50,37 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where("line <> ''")
 
 
+def hashed(lines: DataFrame, *keep: str) -> DataFrame:
+    """(kept columns, w): the hash of each word."""
+    return lines.select(*keep, F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
+
+
 def starts(w: Column) -> Column:
     """Where tokens begin: at each word that WORDS - 1 others follow, or at the first of fewer."""
     return F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - WORDS, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
+def token(w: Column, i: Column) -> Column:
+    """56 bits of the hash of the words from ``i`` on; words that aren't there are left out."""
+    return F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]).bitwiseAND(F.lit(_LOW))
+
+
 def ranked(lines: DataFrame, classes: bytes) -> DataFrame:
     """Lines with their distinct tokens t, the rarity in the upper byte, in order."""
     keep = [c for c in lines.columns if c != "line"]
-    hashed = lines.select(*keep, words_of(F.col("line")).alias("w"))
-    # no filter by size here: it would be pushed below and work the words out a second time
-    tokens = hashed.select(*keep, F.transform(starts(F.col("w")), lambda i: F.xxhash64(F.slice("w", i + 1, WORDS)).bitwiseAND(F.lit(_LOW))).alias("t"))
+    w = F.col("w")
+    # no filter by size here: it would be pushed below and work the hashes out a second time
+    tokens = hashed(lines, *keep).select(*keep, F.transform(starts(w), lambda i: token(w, i)).alias("t"))
     slot = lambda x: F.ascii(F.substring(F.lit(classes), F.pmod(x, F.lit(SLOTS)).cast("int") + 1, 1).cast("string")).cast("long")
     return tokens.select(*keep, F.sort_array(F.array_distinct(F.transform("t", lambda x: F.shiftleft(slot(x), 56).bitwiseOR(x)))).alias("t"))
 
 
 def rarity(lines: DataFrame) -> bytes:
     """A byte for each slot, its class: SLOTS rows at most come to the driver, and go into the plan."""
-    # explode_outer: a filter inferred from explode would be pushed below and work the words out anew for each shingle
-    at = lines.select(words_of(F.col("line")).alias("w")).select("w", F.explode_outer(starts(F.col("w"))).alias("i")).where("i is not null")
-    token = F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(WORDS)]).bitwiseAND(F.lit(_LOW))
-    slots = at.groupBy(F.pmod(token, F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    # explode_outer: a filter inferred from explode would be pushed below and work the hashes out anew for each shingle
+    at = hashed(lines).select("w", F.explode_outer(starts(F.col("w"))).alias("i")).where("i is not null")
+    slot = F.pmod(token(F.col("w"), F.col("i")), F.lit(SLOTS)).cast("int")
+    slots = at.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
     rank = np.searchsorted(np.sort(counts), counts)
