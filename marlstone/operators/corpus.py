@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, phrase_words, quoted, telling, words
@@ -18,6 +22,44 @@ def runs(d, table: str, key: str, n: int) -> str:
     return d.unnest(key, f"(SELECT {key}, {d.distinct(d.grams('w', n))} AS g FROM (SELECT {key}, {words(d, 'text')} AS w FROM {d.t(table)}) q) r", "g", "pos", "gram")
 
 
+def word_rows(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """(kept columns, w): the words of each text, as the engine's SQL has them."""
+    return docs.select(*keep, F.expr(words(SparkSQL(""), text)).alias("w"))
+
+
+def places(rows: DataFrame, n: int, *keep: str, w: str = "w") -> DataFrame:
+    """(kept columns, w, i, h): where each run of ``n`` words begins, from 0, and its hash. The hash is worked out after
+    the explode, in generated code; with OUTER, as an inferred filter would be pushed below and find the words again."""
+    at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+    each = rows.select(*keep, F.col(w).alias("w"), F.explode_outer(at).alias("i")).where("i is not null")
+    return each.withColumn("h", F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(n)]))
+
+
+def run_at(n: int) -> Column:
+    return F.array_join(F.slice("w", F.col("i") + 1, n), " ")
+
+
+#: Runs of a query table that are broadcast (some 200 bytes each); beyond, runs are joined.
+NEEDLES = 500_000
+
+
+def shared_runs(docs: DataFrame, needles: DataFrame, n: int, *keep: str) -> DataFrame:
+    """(kept columns, i, gram) of each place in ``docs`` (kept columns, w) whose run of ``n`` words one of ``needles`` (w)
+    has, too. Hashes are compared first, so that only runs that are found become text."""
+    grams = stored(places(needles, n).select("h", run_at(n).alias("gram")).distinct(), "corpus-needles")
+    found = places(docs, n, *keep).join(F.broadcast(grams) if grams.count() <= NEEDLES else grams, "h")
+    return found.where(run_at(n) == F.col("gram")).select(*keep, "i", "gram")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def benchmark_runs(spark: SparkSession, sf_dir: str, n: int, *keep: str) -> DataFrame:
+    """Runs that documents share with the benchmark."""
+    return shared_runs(word_rows(table(spark, sf_dir, "documents"), *keep), word_rows(table(spark, sf_dir, "benchmark")), n, *keep)
+
+
 @query
 def vocab_spread(d):
     """Uses of each word, and the sources and documents that have it."""
@@ -36,9 +78,7 @@ SELECT t.doc_id, CASE WHEN sum(p.n) >= 20 THEN round(CAST(sum(CASE WHEN k.word I
 FROM {d.t("documents")} t LEFT JOIN per p ON t.doc_id = p.doc_id LEFT JOIN known k ON p.word = k.word GROUP BY t.doc_id"""
 
 
-@query
-def ngram_repetition_by_source(d):
-    """A document is marked if it has a phrase of an earlier one of its source; the share is null below twenty documents."""
+def ngram_repetition_by_source_sql(d) -> str:
     return f"""
 WITH w AS (SELECT doc_id, source, {phrase_words("text", d)} AS w FROM {d.t("documents")}), g AS (SELECT doc_id, source, {d.distinct(d.grams("w", 4))} AS p FROM w), one AS (SELECT * FROM ({d.unnest("doc_id, source", "g", "p", "pos", "phrase")}) u WHERE {telling(d, "phrase")}),
 firsts AS (SELECT *, min(doc_id) OVER (PARTITION BY source, phrase) AS first FROM one),
@@ -49,6 +89,25 @@ SELECT n.source, n.documents, CASE WHEN n.documents >= 20 THEN coalesce(m.marked
 FROM n LEFT JOIN m ON n.source = m.source"""
 
 
+@frame(ngram_repetition_by_source_sql(DuckDB()))
+def ngram_repetition_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is marked if it has a phrase of an earlier one of its source; the share is null below twenty documents.
+
+    Phrases are two hashes of 64 bits until they are known to repeat; a numeral or four stop words make no phrase."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.expr(phrase_words("text", SparkSQL(""))).alias("w"))
+    stop = [y.replace(chr(39), "’") for y in STOPWORDS]
+    word = [F.get("w", F.col("i") + k) for k in range(4)]
+    told = places(docs, 4, "doc_id", "source").where(~reduce(or_, (x < ":" for x in word)))  # a word below the colon begins with a digit
+    told = told.where(~reduce(and_, (x.isin(*stop) for x in word)))
+    keyed = told.select("doc_id", "source", "h", F.hash(*word).alias("h2"))
+    firsts = keyed.groupBy("source", "h", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    marked = keyed.join(firsts, ["source", "h", "h2"]).where("doc_id > first").select("source", "doc_id").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("m"))
+    n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents")).join(marked, "source", "left")
+    share = lambda x: F.when(F.col("documents") >= 20, x)
+    m = F.coalesce("m", F.lit(0))
+    return n.select("source", "documents", share(m).alias("marked"), share(F.round(m / F.col("documents"), 6)).alias("share"))
+
+
 @query
 def echo_phrases(d):
     """Phrases that more than one document of a language uses: the five most used, ties by phrase."""
@@ -58,9 +117,7 @@ n AS (SELECT lang, phrase, count(*) AS uses FROM one GROUP BY lang, phrase HAVIN
 SELECT lang, phrase, uses, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY uses DESC, phrase) AS INTEGER) AS rank FROM n) r WHERE rank <= 5"""
 
 
-@query
-def decontaminate_8gram(d):
-    """Documents without an eight-word run of the benchmark, and how many of each source go."""
+def decontaminate_8gram_sql(d) -> str:
     return f"""
 WITH b AS ({runs(d, "benchmark", "item_id", 8)}), t AS ({runs(d, "documents", "doc_id", 8)}),
 hit AS (SELECT DISTINCT t.doc_id FROM t WHERE t.gram IN (SELECT gram FROM b))
@@ -68,18 +125,14 @@ SELECT o.source, count(*) AS documents, sum(CASE WHEN h.doc_id IS NULL THEN 1 EL
 FROM {d.t("documents")} o LEFT JOIN hit h ON o.doc_id = h.doc_id GROUP BY o.source""".replace("sum(CASE", "CAST(sum(CASE").replace("END) AS kept", "END) AS BIGINT) AS kept").replace("END) AS dropped", "END) AS BIGINT) AS dropped")
 
 
-@query
-def leaked_items_12gram_hashed(d):
-    """Benchmark items of which a document has a twelve-word run, by hashed keys."""
+def leaked_items_12gram_hashed_sql(d) -> str:
     key = f"substr({d.sha('gram')}, 1, 16)"
     return f"""
 WITH b AS (SELECT DISTINCT item_id, {key} AS k FROM ({runs(d, "benchmark", "item_id", 12)}) x), t AS (SELECT DISTINCT doc_id, {key} AS k FROM ({runs(d, "documents", "doc_id", 12)}) y)
 SELECT b.item_id, count(DISTINCT t.doc_id) AS documents, count(DISTINCT b.k) AS runs FROM b JOIN t ON b.k = t.k GROUP BY b.item_id"""
 
 
-@query
-def copied_stretches(d):
-    """Maximal stretches of a document that are runs of eight words from the benchmark, merged where they touch."""
+def copied_stretches_sql(d) -> str:
     return f"""
 WITH b AS (SELECT DISTINCT gram FROM ({runs(d, "benchmark", "item_id", 8)}) x),
 w AS (SELECT doc_id, {words(d, "text")} AS w FROM {d.t("documents")}), g AS (SELECT doc_id, {d.grams("w", 8)} AS g FROM w), t AS ({d.unnest("doc_id", "g", "g", "pos", "gram")}),
@@ -87,9 +140,7 @@ hit AS (SELECT doc_id, pos, pos - CAST(row_number() OVER (PARTITION BY doc_id OR
 SELECT doc_id, min(pos) AS first_word, max(pos) + 7 AS last_word, max(pos) - min(pos) + 8 AS n_words FROM hit GROUP BY doc_id, island"""
 
 
-@query
-def recall_beyond_input(d):
-    """Eight-word runs that a document shares with any benchmark text and that the document's first half lacks."""
+def recall_beyond_input_sql(d) -> str:
     w = words(d, "text")
     return f"""
 WITH src AS (SELECT DISTINCT gram FROM ({runs(d, "benchmark", "item_id", 8)}) x),
@@ -100,6 +151,41 @@ one AS ({d.unnest("doc_id", "g", "g", "pos", "gram")}), had AS ({d.unnest("doc_i
 SELECT o.doc_id, count(*) AS recalled FROM one o LEFT JOIN had ON o.doc_id = had.doc_id AND o.gram = had.gram WHERE had.gram IS NULL AND o.gram IN (SELECT gram FROM src) GROUP BY o.doc_id"""
 
 
+@frame(decontaminate_8gram_sql(DuckDB()))
+def decontaminate_8gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without an eight-word run of the benchmark, and how many of each source go."""
+    hit = benchmark_runs(spark, sf_dir, 8, "doc_id").select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source").join(hit.withColumn("hit", F.lit(1)), "doc_id", "left")
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("hit").isNull()).alias("kept"), F.count_if(F.col("hit").isNotNull()).alias("dropped"))
+
+
+@frame(leaked_items_12gram_hashed_sql(DuckDB()))
+def leaked_items_12gram_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document has a twelve-word run, by hashed keys."""
+    key = F.left(F.sha2("gram", 256), F.lit(16)).alias("k")
+    found = benchmark_runs(spark, sf_dir, 12, "doc_id").select("doc_id", key).distinct()
+    items = places(word_rows(table(spark, sf_dir, "benchmark"), "item_id"), 12, "item_id").select("item_id", run_at(12).alias("gram")).select("item_id", key).distinct()
+    return items.join(found, "k").groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("k").alias("runs"))
+
+
+@frame(copied_stretches_sql(DuckDB()))
+def copied_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal stretches of a document that are runs of eight words from the benchmark, merged where they touch."""
+    hit = benchmark_runs(spark, sf_dir, 8, "doc_id")
+    islands = hit.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i")))
+    found = islands.groupBy("doc_id", "island").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    return found.select("doc_id", F.col("a").alias("first_word"), (F.col("b") + 7).alias("last_word"), (F.col("b") - F.col("a") + 8).alias("n_words"))
+
+
+@frame(recall_beyond_input_sql(DuckDB()))
+def recall_beyond_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-word runs that a document shares with any benchmark text and that the document's first half lacks."""
+    docs = word_rows(table(spark, sf_dir, "documents"), "doc_id").withColumn("n", F.size("w"))
+    hit = shared_runs(docs, word_rows(table(spark, sf_dir, "benchmark")), 8, "doc_id", "n")
+    each = hit.groupBy("doc_id", "n", "gram").agg(F.min("i").alias("first"))
+    return each.where(F.col("first") + 8 > F.floor(F.col("n") / 2)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("recalled"))
+
+
 def near_dup_sql(d) -> str:
     """near_dup_trigram_jaccard plainly."""
     return f"""
@@ -220,16 +306,14 @@ r AS ({d.unnest("word", "rare", "keys", "pos", "k")}), c AS ({d.unnest("word, us
 SELECT DISTINCT r.word AS rare, c.word AS common, c.uses FROM r JOIN c ON r.k = c.k WHERE levenshtein(r.word, c.word) = 1"""
 
 
-@query
-def reason_cascade(d):
-    """The first reason against each document, null if it is kept."""
+def reason_cascade_sql(d) -> str:
     quoted_chars = f"length(text) - length({d.sub('text', chr(34) + '[^' + chr(34) + chr(92) + 'n]*' + chr(34), '')})"
     return f"""
 WITH b AS (SELECT DISTINCT gram FROM ({runs(d, "benchmark", "item_id", 8)}) x), t AS ({runs(d, "documents", "doc_id", 8)}),
 hit AS (SELECT DISTINCT doc_id FROM t WHERE gram IN (SELECT gram FROM b)),
 r AS (SELECT o.doc_id, CASE
   WHEN {d.size(d.find("text", "[^ \t\r\n]+"))} NOT BETWEEN 180 AND 440 THEN 'outside length bounds'
-  WHEN NOT {d.like("text", "[.!?][" + chr(34) + ")]?$")} THEN 'incomplete ending'
+  WHEN NOT {d.like("text", "[.!?][" + chr(34) + "”’)]?$")} THEN 'incomplete ending'
   WHEN h.doc_id IS NOT NULL THEN 'benchmark overlap'
   WHEN {d.like("text", "[#*$%&|<>]{3}")} THEN 'possible editorial residue'
   WHEN ({quoted_chars}) > 0.35 * length(text) THEN 'dominated by quoted speech' END AS reason
@@ -237,6 +321,27 @@ r AS (SELECT o.doc_id, CASE
 SELECT doc_id, reason, count(*) OVER (PARTITION BY reason) AS of_reason FROM r"""
 
 
+def first_reason(docs: DataFrame, hit: DataFrame, least: int = 180, most: int = 440, quoted_share: float = 0.35, rules: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the first reason against each, null if it is kept. ``hit`` (doc_id, reason) comes
+    after the length and the ending, such as overlaps with texts held back; ``rules`` are more (pattern, reason) of texts,
+    such as anachronisms, in order."""
+    n_words, marked = F.size(F.regexp_extract_all("text", F.lit("[^ \t\r\n]+"), F.lit(0))), F.length("text") - F.length(F.regexp_replace("text", '"[^"\\n]*"', ""))
+    found = docs.join(hit.groupBy("doc_id").agg(F.min("reason").alias("__hit")), "doc_id", "left")
+    reason = F.when(~n_words.between(least, most), "outside length bounds").when(~F.col("text").rlike('[.!?]["”’)]?$'), "incomplete ending").when(F.col("__hit").isNotNull(), F.col("__hit"))
+    for pattern, why in rules:
+        reason = reason.when(F.col("text").rlike(pattern), why)
+    return found.withColumn("reason", reason.when(marked > quoted_share * F.length("text"), "dominated by quoted speech")).drop("__hit")
+
+
+@frame(reason_cascade_sql(DuckDB()))
+def reason_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first reason against each document, null if it is kept, and how many have it."""
+    hit = benchmark_runs(spark, sf_dir, 8, "doc_id").select("doc_id", F.lit("benchmark overlap").alias("reason")).distinct()
+    found = first_reason(table(spark, sf_dir, "documents").select("doc_id", "text"), hit, rules=[("[#*$%&|<>]{3}", "possible editorial residue")]).select("doc_id", "reason")
+    of_reason = found.groupBy("reason").agg(F.count(F.lit(1)).alias("of_reason"))  # a row for each reason
+    return found.join(F.broadcast(of_reason.withColumnRenamed("reason", "r")), F.col("reason").eqNullSafe(F.col("r"))).select("doc_id", "reason", "of_reason")
+
+
 @query
 def is_english_heuristic(d):
     """Fifteen words, at most 2 % of characters beyond ASCII, three in ten of the first 200 words stop words."""
@@ -307,18 +412,27 @@ def lenient_json(d):
     wrapped = "'<think>no {' || event_type || '</think>```json ' || props || ' ``` end'"
     bare = d.sub(d.sub(wrapped, "(?s)<think>.*?</think>", ""), "```(json)?", "")
     whole = f"regexp_extract({bare}, '[{{].*[}}]', 0)"
-    return f"SELECT event_id, CAST({d.field(whole, 'k')} AS BIGINT) AS k FROM {d.t('events')}"
+    return f"SELECT event_id, TRY_CAST({d.field(whole, 'k')} AS BIGINT) AS k FROM {d.t('events')}"
 
 
-@query
-def length_statistics(d):
-    """Least, tenth, middle, ninetieth and greatest length of each source's documents, by place floor(f * (n - 1))."""
+def length_statistics_sql(d) -> str:
     pick = lambda f: f"max(CASE WHEN rn = CAST(floor({f} * (n - 1)) AS BIGINT) + 1 THEN len END)"
     return f"""
 WITH l AS (SELECT source, CAST(length(text) AS BIGINT) AS len, row_number() OVER (PARTITION BY source ORDER BY length(text)) AS rn, count(*) OVER (PARTITION BY source) AS n FROM {d.t("documents")})
 SELECT source, n, min(len) AS least, {pick(0.1)} AS p10, {pick(0.5)} AS median, {pick(0.9)} AS p90, max(len) AS most FROM l GROUP BY source, n"""
 
 
+@frame(length_statistics_sql(DuckDB()))
+def length_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least, tenth, middle, ninetieth and greatest length of each source's documents, by place floor(f * (n - 1)): lengths
+    are counted first, so that places are sums over lengths, not rows."""
+    counts = table(spark, sf_dir, "documents").groupBy("source", F.length("text").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("k"))
+    upto = Window.partitionBy("source").orderBy("len")
+    each = counts.withColumn("cum", F.sum("k").over(upto)).withColumn("n", F.sum("k").over(Window.partitionBy("source")))
+    at = lambda f: F.min(F.when(F.col("cum") > F.floor(F.lit(f) * (F.col("n") - 1)), F.col("len")))
+    return each.groupBy("source", "n").agg(F.min("len").alias("least"), at(0.1).alias("p10"), at(0.5).alias("median"), at(0.9).alias("p90"), F.max("len").alias("most"))
+
+
 @query
 def term_rate(d):
     """Uses of some terms per hundred words, and sentences with one, by source."""
