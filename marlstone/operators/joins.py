@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,17 +119,6 @@ WITH t AS (SELECT item_id, {d.distinct(words(d, "text"))} AS w FROM {d.t("benchm
 SELECT word, min(item_id) AS first, {d.listed("CAST(item_id AS VARCHAR(20))", ",", "item_id")} AS items FROM one GROUP BY word"""
 
 
-@query
-def accrual_calendar(d):
-    """Charges due in January 2024: a weekly, a monthly (from a date), and one every five days from an anchor, with the last due day before each event day."""
-    t = "DATE '2024-01-01'"
-    n = d.days(t, "day")
-    return f"""
-WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM {d.t("events")})
-SELECT day, {d.adddays("day", f"-(({d.weekday('day')} - 4 + 7) % 7)")} AS last_friday, CASE WHEN day(day) >= 5 THEN {d.adddays("day", "5 - day(day)")} END AS fifth, CASE WHEN {n} >= 5 THEN {d.adddays(t, f"5 * CAST(floor(({n}) / 5) AS INTEGER)")} END AS every_five,
-  {d.weekday("day")} = 4 AS weekly_due, ({n}) > 0 AND ({n}) % 5 = 0 AS five_due FROM days"""
-
-
 @query
 def running_ledger(d):
     """Per supplier: sums, returns apart, and the greatest running balance."""
@@ -147,15 +135,6 @@ WITH p AS (SELECT o_orderkey, o_custkey || ':' || o_orderpriority || ':' || year
 SELECT charge, first, o_orderkey AS duplicate FROM (SELECT charge, o_orderkey, min(o_orderkey) OVER (PARTITION BY charge) AS first FROM p) x WHERE o_orderkey <> first"""
 
 
-@query
-def missed_sessions(d):
-    """Runs of two and more missed weeks of a user between their first and last event."""
-    w = f"CAST(floor({d.days(chr(68) + 'ATE ' + chr(39) + '2024-01-01' + chr(39), 'CAST(ts AS DATE)')} / 7.0) AS INTEGER)"
-    return f"""
-WITH s AS (SELECT DISTINCT user_id, {w} AS week FROM {d.t("events")} WHERE event_type = 'purchase'), g AS (SELECT user_id, week, lag(week) OVER (PARTITION BY user_id ORDER BY week) AS before FROM s)
-SELECT user_id, before + 1 AS from_week, week - before - 1 AS missed FROM g WHERE week - before > 2"""
-
-
 @query
 def run_length_codes(d):
     """A user's acts as runs (rle), and gaps between their event ids (delta)."""
@@ -196,23 +175,6 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shortest(edges(spark, sf_dir).withColumn("cost", F.lit(1)), 0).withColumnRenamed("cost", "steps")
 
 
-@frame()
-def settlement_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's debts in order of date against a balance: paid if it covers them, else skipped, so that later smaller ones may still be paid. One task a customer, sequential as each payment changes the next."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", (F.col("o_totalprice") / 100).alias("debt"))
-    cash = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, out = float(pdf["c_acctbal"].iloc[0]), []
-        for r in pdf.sort_values(["o_orderdate", "o_orderkey"]).itertuples():
-            paid = r.debt <= left
-            left -= r.debt if paid else 0
-            out.append((r.c_custkey, r.o_orderkey, paid, round(left, 2)))
-        return pd.DataFrame(out, columns=["c_custkey", "o_orderkey", "paid", "balance"])
-
-    return orders.join(cash, "c_custkey").groupBy("c_custkey").applyInPandas(settle, "c_custkey long, o_orderkey long, paid boolean, balance double")
-
-
 @frame()
 def group_isolated_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that share a text are one group; groups in hash order, the prefix nearest a fifth of the documents is held out (never all)."""
