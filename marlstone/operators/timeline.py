@@ -150,15 +150,6 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEE
 SELECT conv_id, count(*) AS turns, CAST(max(total) AS BIGINT) AS chars FROM r WHERE total <= 1500 GROUP BY conv_id"""
 
 
-@query
-def opening_hours(d):
-    """Events inside hours: weekdays from nine to five with ten minutes to spare, Saturdays till one, never on the first of a month."""
-    m = "(hour(ts) * 60 + minute(ts))"
-    w = d.weekday("CAST(ts AS DATE)")
-    return f"""
-SELECT event_type, count(*) AS n, count(CASE WHEN day(ts) > 1 AND ((({w} BETWEEN 0 AND 4) AND {m} >= 540 AND {m} + 10 < 1020) OR ({w} = 5 AND {m} >= 540 AND {m} + 10 < 780)) THEN 1 END) AS open FROM {d.t("events")} GROUP BY event_type"""
-
-
 @query
 def clock_fields(d):
     """Minute of the day, its spelling, weekday and day number."""
