@@ -254,17 +254,6 @@ def near_dup_trigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("x", "y"), F.greatest("x", "y")).union(opens).toDF("first_id", "doc_id").distinct()
 
 
-@query
-def contained_drafts(d):
-    """Turns that a later turn of the conversation and role writes again: the same 120 characters, or half its four-word runs."""
-    return f"""
-WITH t AS (SELECT conv_id, turn, role, {d.sub("text", "[ \t\r\n]+", " ")} AS text FROM {d.t("conversations")}),
-w AS (SELECT conv_id, turn, role, substr(trim(text), 1, 120) AS head, {words(d, "text")} AS w FROM t),
-g AS (SELECT conv_id, turn, role, head, {d.distinct(d.grams("w", 4))} AS g FROM w)
-SELECT a.conv_id, a.turn AS draft, b.turn AS later FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.role = b.role AND a.turn < b.turn
-WHERE (a.head <> '' AND a.head = b.head) OR ({d.size("a.g")} > 0 AND 2 * {d.size(d.both("a.g", "b.g"))} >= {d.size("a.g")})"""
-
-
 @query
 def exact_dup_groups(d):
     """Texts that several documents have."""
