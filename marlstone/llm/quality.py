@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stored, table
+from .common import stored, table, takes_turn
 
 #: The share of rows that a concentration step keeps; the tail that the cut leaves of normal data; rows of a unit, and units that give starts.
 H, TAIL, UNIT, SUBSETS = 0.5, 1e-6, 5_000, 10
@@ -122,6 +122,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     schema = pa.schema([(id_col, to_arrow_type(kind)), ("lang", pa.string()), ("source", pa.string()), *((c, pa.int64()) for c in names), *((c, pa.float64()) for c in FEATURES)])
 
     def run(it):
+        takes_turn("quality", lambda: None)
         for batch in it:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -198,6 +198,7 @@ def fit(texts: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[di
 
     def count(it):
         met = {0: Counter(), 1: Counter()}
+        takes_turn("toxicity", lambda: None)
         for batch in it:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 met[toxic].update(features_of(text or ""))
@@ -225,6 +226,7 @@ def fit(texts: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[di
 
     def see(it):
         g = Grammar(stems)
+        takes_turn("toxicity", g.seen.clear)
         for batch in it:
             xs = [vector(g.kinds(t or "")) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
