@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import corpus, folds, geometry, joins, money, records, rules, search, sentences, splits, statistics, timeline  # noqa: F401  (registers)
+from .operators import cleaning, corpus, folds, geometry, joins, money, records, rules, search, sentences, splits, statistics, timeline  # noqa: F401  (registers)
 from .plans.dialect import oracle_sql, queries
 from .streaming import rules  # noqa: F401  (registers)
 
