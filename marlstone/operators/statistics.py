@@ -176,15 +176,6 @@ WITH p AS (SELECT length(text) AS n, lag(length(text)) OVER (PARTITION BY conv_i
 SELECT count(m) AS pairs, round(avg(CAST(n AS DOUBLE) / nullif(m, 0)), 6) AS ratio, count(CASE WHEN pending THEN 1 END) AS pending, coalesce(avg(CAST(n AS DOUBLE) / nullif(m, 0)) BETWEEN 0.8 AND 1.2 AND count(CASE WHEN pending THEN 1 END) = 0, false) AS pass FROM p"""
 
 
-@query
-def vector_angles(d):
-    """Dot product and angle of each vector with the next."""
-    dot = (lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x)") if type(d).__name__ == "SparkSQL" else (lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]))")
-    return f"""
-WITH p AS (SELECT a.vec_id, {dot("a.embedding", "b.embedding")} AS dot, {dot("a.embedding", "a.embedding")} AS aa, {dot("b.embedding", "b.embedding")} AS bb FROM {d.t("embeddings")} a JOIN {d.t("embeddings")} b ON b.vec_id = a.vec_id + 1)
-SELECT vec_id, round(dot, 5) AS dot, round(degrees(acos(greatest(-1, least(1, dot / nullif(sqrt(aa) * sqrt(bb), 0))))), 4) AS angle FROM p""".replace("greatest(-1, least(1,", "greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE),")
-
-
 @frame()
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The temperature of least loss: eighty bisections of the slope over 1/T in [0.05, 20]. Rows are first summed by log-odds in thousandths, so that the driver gets a bounded table."""

@@ -170,16 +170,6 @@ def latest_on_or_before(d):
     return f"SELECT o_custkey, max(o_orderdate) AS at, max_by(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS o_orderkey FROM {d.t('orders')} WHERE o_orderdate <= TIMESTAMP '1996-07-01 00:00:00' GROUP BY o_custkey".replace("struct_pack(a := o_orderdate, b := o_orderkey)", "struct(o_orderdate, o_orderkey)" if type(d).__name__ == "SparkSQL" else "struct_pack(a := o_orderdate, b := o_orderkey)")
 
 
-@query
-def sun_times(d):
-    """Sunrise and sunset (minutes of the day, 28.6° N 77.2° E, +5:30) by the usual approximation."""
-    n = f"({d.days(chr(68) + 'ATE ' + chr(39) + '2000-01-01' + chr(39), 'day')})"
-    dec = f"(0.409 * sin(2 * pi() * (284 + {n} % 365) / 365.0))"
-    half = f"degrees(acos(greatest(-1.0, least(1.0, -tan(radians(28.6)) * tan({dec}))))) * 4"
-    noon = "(720 - 4 * 77.2 + 330)"
-    return f"WITH t AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM {d.t('events')}) SELECT day, round(CAST({noon} - {half} AS DOUBLE), 2) AS rise, round(CAST({noon} + {half} AS DOUBLE), 2) AS sets FROM t"
-
-
 @query
 def trailing_staleness(d):
     """Gaps of more than an hour and three quarters between a user's events, which are resumed and never filled."""
