@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import stored, table, takes_turn
 
 #: The share of rows that a concentration step keeps; the tail that the cut leaves of normal data; rows of a unit, and units that give starts.
-H, TAIL, UNIT, SUBSETS = 0.5, 1e-6, 5_000, 10
+H, TAIL, UNIT, SUBSETS = 0.5, 1e-6, 2_500, 10
 #: Standard deviations below this say nothing: most features are zero in most documents. A sound document may repeat a line.
 FLOOR, FLOORS = 0.04, {"dup_lines": 0.15, "repeats": 0.15}
 #: Groups that are broadcast (some 500 bytes each); beyond, rows are joined with them.
