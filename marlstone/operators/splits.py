@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.dialect import frame, query
+from ..plans.dialect import DuckDB, frame, query
+from ..plans.ordering import running
 
 
 def key(d, seed: str, x: str) -> str:
@@ -39,9 +40,7 @@ SELECT doc_id, 'item-' || substr({key(d, "blind", "doc_id")}, 1, 10) AS blind, C
 FROM (SELECT doc_id, row_number() OVER (ORDER BY {key(d, "sample", "doc_id")}) AS rn FROM {d.t("documents")}) x WHERE rn <= 100"""
 
 
-@query
-def balanced_mix(d):
-    """As many unlabelled documents as labelled ones, in seeded order."""
+def balanced_mix_sql(d) -> str:
     return f"""
 WITH u AS (SELECT t.doc_id, row_number() OVER (ORDER BY {key(d, "mix", "t.doc_id")}) AS rn FROM {d.t("documents")} t LEFT JOIN {d.t("labels")} l ON t.doc_id = l.doc_id WHERE l.doc_id IS NULL)
 SELECT doc_id, 'format' AS part FROM {d.t("labels")} UNION ALL SELECT doc_id, 'general' FROM u WHERE rn <= (SELECT count(*) FROM {d.t("labels")})"""
@@ -64,9 +63,7 @@ WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, row_number() OVER
 SELECT user_id, day, event_id FROM c WHERE rn = 1"""
 
 
-@query
-def budget_roster(d):
-    """The most documents, in seeded order, whose projected cost (two seconds and a second for 500 characters each) fits half an hour."""
+def budget_roster_sql(d) -> str:
     return f"""
 WITH r AS (SELECT doc_id, 2.0 + ceil(length(text) / 500.0) AS cost, {key(d, "roster", "doc_id")} AS k FROM {d.t("documents")}), s AS (SELECT doc_id, sum(cost) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent, row_number() OVER (ORDER BY k) AS place FROM r)
 SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(spent AS DOUBLE) AS spent FROM s WHERE spent <= 1800"""
@@ -104,25 +101,61 @@ WITH x AS (SELECT item_id, row_number() OVER (ORDER BY {key(d, "packet", "item_i
 SELECT CAST(place AS INTEGER) AS place, 'p' || lpad(CAST(place AS VARCHAR(9)), 4, '0') AS opaque, item_id, sha FROM x"""
 
 
-@frame()
-def greedy_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source joined in order up to 6,000 characters. The fold is sequential: one task a source, which holds ids and lengths only."""
+def ordered(spark: SparkSession, sf_dir: str, seed: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn("k", F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")), 256))
+
+
+def mixed(special: DataFrame, general: DataFrame, order: str) -> DataFrame:
+    """Both as one table with ``part``: all of the special rows, and as many general ones, in order."""
+    n = special.count()
+    some = running(general, [order]).where(F.col("place") <= n).drop("place", order)
+    return special.withColumn("part", F.lit("format")).unionByName(some.withColumn("part", F.lit("general")))
+
+
+@frame(balanced_mix_sql(DuckDB()))
+def balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many unlabelled documents as labelled ones, in seeded order."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
+    return mixed(labels, ordered(spark, sf_dir, "mix").select("doc_id", "k").join(labels, "doc_id", "left_anti"), "k")
+
+
+@frame(budget_roster_sql(DuckDB()))
+def budget_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most documents, in seeded order, whose projected cost (two seconds and a second for 500 characters each) fits half an hour."""
+    rows = ordered(spark, sf_dir, "roster").select("doc_id", "k", (2.0 + F.ceil(F.length("text") / 500)).alias("cost"))
+    found = running(rows, ["k"], "cost").where("total <= 1800")
+    return found.select("doc_id", F.col("place").cast("int").alias("place"), F.col("total").cast("double").alias("spent"))
+
+
+def packed_in_order(docs: DataFrame, by: str, order: str, size: str, limit: int) -> DataFrame:
+    """(by, order, block): rows joined in order up to ``limit``; a larger one has a block of its own. One task a group, which
+    holds keys and sizes only, as each block begins where the last one ended."""
+    from itertools import accumulate
+
     import pandas as pd
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        block, used, out = 0, 0, []
-        for n in pdf["n_chars"]:
-            if used and used + n > 6000:
-                block, used = block + 1, 0
-            used += n
-            out.append(block)
-        return pd.DataFrame({"source": pdf["source"], "doc_id": pdf["doc_id"], "block": out})
+        pdf = pdf.sort_values(order)
+        step = lambda s, n: (s[0], s[1] + n) if not s[1] or s[1] + n <= limit else (s[0] + 1, n)
+        blocks = [b for b, _ in accumulate(pdf[size].tolist(), step, initial=(0, 0))][1:]
+        return pd.DataFrame({by: pdf[by], order: pdf[order], "block": blocks})
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return docs.select(by, order, size).groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, {order} {kinds[order]}, block int")
 
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "n_chars").groupBy("source").applyInPandas(fold, "source string, doc_id long, block int")
+
+@frame("""
+WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+w AS (SELECT source, doc_id, n, 0 AS block, n_chars AS used FROM d WHERE n = 1 UNION ALL SELECT d.source, d.doc_id, d.n, CASE WHEN w.used > 0 AND w.used + d.n_chars > 6000 THEN w.block + 1 ELSE w.block END, CASE WHEN w.used > 0 AND w.used + d.n_chars > 6000 THEN d.n_chars ELSE w.used + d.n_chars END FROM w JOIN d ON d.source = w.source AND d.n = w.n + 1)
+SELECT source, doc_id, block::INT AS block FROM w""")
+def greedy_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source joined in order up to 6,000 characters."""
+    return packed_in_order(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source", "doc_id", "n_chars", 6000)
 
 
-@frame()
+@frame("""
+WITH c AS (SELECT lang, doc_id, sha256('cover:' || doc_id) AS k, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('cover:' || doc_id)) AS n FROM documents)
+SELECT lang, doc_id, place::INT AS place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n, k) AS place FROM c) x WHERE place <= 40""")
 def coverage_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language, forty documents drawn so that each pick's source was used least so far, ties by hash. Candidates are first cut to forty a source, beyond which no draw can reach."""
     import pandas as pd

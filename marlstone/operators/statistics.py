@@ -75,21 +75,26 @@ def threshold_grid(d):
     """Of thresholds 0.05 to 0.95 that keep four fifths of good rows, the one of best balanced accuracy, then most rejections, then greatest; rows without a claim are kept."""
     grid = " UNION ALL ".join(f"SELECT {i} AS c" for i in range(5, 96))
     return f"""
-WITH s AS ({scored(d)}), g AS ({grid}),
-m AS (SELECT g.c, CAST(count(CASE WHEN y = 1 AND (NOT claim OR p * 100 >= c) THEN 1 END) AS DOUBLE) / count(CASE WHEN y = 1 THEN 1 END) AS keep, CAST(count(CASE WHEN y = 0 AND claim AND p * 100 < c THEN 1 END) AS DOUBLE) / count(CASE WHEN y = 0 THEN 1 END) AS reject FROM s CROSS JOIN g GROUP BY g.c)
+WITH s AS (SELECT CAST(floor(p * 100) AS INTEGER) AS b, y, claim, count(*) AS n FROM ({scored(d)}) q GROUP BY CAST(floor(p * 100) AS INTEGER), y, claim), g AS ({grid}),
+m AS (SELECT g.c, CAST(sum(CASE WHEN y = 1 AND (NOT claim OR b >= c) THEN n ELSE 0 END) AS DOUBLE) / sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS keep, CAST(sum(CASE WHEN y = 0 AND claim AND b < c THEN n ELSE 0 END) AS DOUBLE) / sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS reject FROM s CROSS JOIN g GROUP BY g.c)
 SELECT c / 100.0 AS threshold, round(keep, 6) AS retention, round(reject, 6) AS rejected FROM m WHERE keep >= 0.8 ORDER BY round((keep + reject) / 2, 9) DESC, reject DESC, c DESC LIMIT 1""".replace("c / 100.0 AS threshold", "CAST(c AS DOUBLE) / 100 AS threshold")
 
 
+#: Lots that a case's rows are dealt into by hash; a halving is one of lots.
+LOTS = 512
+
+
 @query
 def chance_gate_failure(d):
-    """How often a gate fails if each case's rows are halved by chance: two hundred halvings by hash, failure rate and middle ninety per cent."""
-    half = f"row_number() OVER (PARTITION BY run, l_returnflag ORDER BY substr({d.sha(chr(39) + '7:' + chr(39) + ' || run || ' + chr(39) + ':' + chr(39) + ' || l_orderkey || ' + chr(39) + ':' + chr(39) + ' || l_linenumber')}, 1, 16))"
+    """How often a gate fails if each case's rows are halved by chance: all rows are dealt into lots by hash and summed, and two
+    hundred halvings of the lots by hash give the failure rate and the middle ninety per cent."""
+    lot = f"{d.hexint('substr(' + d.sha(chr(39) + 'lot:' + chr(39) + ' || l_orderkey || ' + chr(39) + ':' + chr(39) + ' || l_linenumber') + ', 1, 7)')} % {LOTS}"
     return f"""
-WITH r AS (SELECT * FROM {d.t("lineitem")} WHERE l_quantity = 50), runs AS (SELECT run FROM (SELECT {"explode(sequence(1, 200))" if type(d).__name__ == "SparkSQL" else "unnest(range(1, 201))"} AS run) x),
-h AS (SELECT CAST(run AS INTEGER) AS run, l_returnflag, l_discount, {half} AS n, count(*) OVER (PARTITION BY run, l_returnflag) AS total FROM r CROSS JOIN (SELECT CAST(run AS INTEGER) AS run FROM runs) q),
-m AS (SELECT run, 100 * (avg(CASE WHEN 2 * n <= total THEN l_discount END) - avg(CASE WHEN 2 * n > total THEN l_discount END)) AS diff FROM h GROUP BY run),
+WITH s AS (SELECT l_returnflag, {lot} AS lot, sum(l_discount) AS discount, count(*) AS n FROM {d.t("lineitem")} GROUP BY l_returnflag, {lot}), runs AS (SELECT CAST(run AS INTEGER) AS run FROM (SELECT {"explode(sequence(1, 200))" if type(d).__name__ == "SparkSQL" else "unnest(range(1, 201))"} AS run) x),
+h AS (SELECT run, discount, n, row_number() OVER (PARTITION BY run, l_returnflag ORDER BY {d.sha("run || ':' || l_returnflag || ':' || lot")}) AS rn, count(*) OVER (PARTITION BY run, l_returnflag) AS total FROM s CROSS JOIN runs),
+m AS (SELECT run, round(100 * (sum(CASE WHEN 2 * rn <= total THEN discount ELSE 0 END) / sum(CASE WHEN 2 * rn <= total THEN n ELSE 0 END) - sum(CASE WHEN 2 * rn > total THEN discount ELSE 0 END) / sum(CASE WHEN 2 * rn > total THEN n ELSE 0 END)), 9) AS diff FROM h GROUP BY run),
 o AS (SELECT diff, row_number() OVER (ORDER BY diff) AS rn FROM m)
-SELECT round(CAST(count(CASE WHEN diff > 0.2 THEN 1 END) AS DOUBLE) / count(*), 6) AS failed, round(max(CASE WHEN rn = 11 THEN diff END), 6) AS low, round(max(CASE WHEN rn = 190 THEN diff END), 6) AS high FROM o"""
+SELECT round(CAST(count(CASE WHEN diff > 0.05 THEN 1 END) AS DOUBLE) / count(*), 6) AS failed, round(max(CASE WHEN rn = 11 THEN diff END), 6) AS low, round(max(CASE WHEN rn = 190 THEN diff END), 6) AS high FROM o"""
 
 
 @query
@@ -127,14 +132,17 @@ SELECT c.conv_id, c.turn, c.n AS matched, CASE WHEN c.n < 2 THEN 0.0 ELSE round(
 
 @query
 def burrows_delta(d):
-    """Mean distance, in deviations, of each source's word shares from the segments' means, over the 50 commonest words."""
+    """Mean distance, in deviations, of each work's word shares from the segments' means, over the 50 commonest words. A work is a
+    language's texts of a source; it has a segment for each thousand words, all of equal size, and what is left over has none."""
     return f"""
-WITH t AS (SELECT doc_id, source, {words(d, "text")} AS w FROM {d.t("documents")} WHERE lang = 'en'), one AS ({d.unnest("doc_id, source", "t", "w", "pos", "word")}),
-seg AS (SELECT source, word, doc_id % 5 AS seg FROM one), top AS (SELECT word FROM (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS rn FROM seg GROUP BY word) x WHERE rn <= 50),
-size AS (SELECT seg, count(*) AS n FROM seg GROUP BY seg), share AS (SELECT s.seg, top.word, CAST(count(g.word) AS DOUBLE) / max(s.n) AS share FROM size s CROSS JOIN top LEFT JOIN seg g ON g.seg = s.seg AND g.word = top.word GROUP BY s.seg, top.word),
+WITH t AS (SELECT doc_id, source || ':' || lang AS work, {words(d, "text")} AS w FROM {d.t("documents")}), z AS (SELECT doc_id, work, w, coalesce(sum({d.size("w")}) OVER (PARTITION BY work ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum({d.size("w")}) OVER (PARTITION BY work) AS n FROM t),
+k AS (SELECT doc_id, work, w, before, n, greatest(1, CAST(floor(n / 1000.0 + 0.5) AS BIGINT)) AS k FROM z), one AS ({d.unnest("work, before, n, k", "k", "w", "pos", "word")}),
+placed AS (SELECT work, word, k, n, CAST(floor((before + pos) / floor(n * 1.0 / k)) AS BIGINT) AS seg FROM one), seg AS (SELECT work, word, work || ':' || seg AS seg FROM placed WHERE seg < k),
+g AS (SELECT seg, work, word, count(*) AS n FROM seg GROUP BY seg, work, word), top AS (SELECT word FROM (SELECT word, row_number() OVER (ORDER BY sum(n) DESC, word) AS rn FROM g GROUP BY word) x WHERE rn <= 50),
+size AS (SELECT seg, work, sum(n) AS n FROM g GROUP BY seg, work), share AS (SELECT s.seg, s.work, top.word, coalesce(CAST(g.n AS DOUBLE), 0) / s.n AS share FROM size s CROSS JOIN top LEFT JOIN g ON g.seg = s.seg AND g.word = top.word),
 ref AS (SELECT word, avg(share) AS mean, stddev_pop(share) AS sd FROM share GROUP BY word HAVING stddev_pop(share) > 0),
-own AS (SELECT source, count(*) AS n FROM seg GROUP BY source), mine AS (SELECT o.source, r.word, CAST(count(g.word) AS DOUBLE) / max(o.n) AS share FROM own o CROSS JOIN ref r LEFT JOIN seg g ON g.source = o.source AND g.word = r.word GROUP BY o.source, r.word)
-SELECT m.source, round(avg(abs((m.share - r.mean) / r.sd)), 4) AS delta FROM mine m JOIN ref r ON m.word = r.word GROUP BY m.source"""
+mine AS (SELECT work, word, avg(share) AS share FROM share GROUP BY work, word)
+SELECT m.work, round(avg(abs((m.share - r.mean) / r.sd)), 4) AS delta FROM mine m JOIN ref r ON m.word = r.word GROUP BY m.work"""
 
 
 @query

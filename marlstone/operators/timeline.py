@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ..plans.dialect import query
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..plans.dialect import DuckDB, frame, query
+from ..plans.ordering import running
 
 STEP = "SELECT event_id, user_id, CAST(ts AS DATE) AS day, ts, event_type AS act, value, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS INTEGER) AS idx FROM {}"
 
@@ -112,9 +116,7 @@ def forward_fill_heading(d):
     return f"SELECT conv_id, turn, role, {fill} AS heading, coalesce(max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING), 0) = 1 AS within FROM {d.t('conversations')} WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query
-def round_robin_interleave(d):
-    """Documents taken in turn from each source."""
+def round_robin_interleave_sql(d) -> str:
     return f"SELECT doc_id, CAST(row_number() OVER (ORDER BY n, source) AS INTEGER) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM {d.t('documents')}) x"
 
 
@@ -158,10 +160,8 @@ def clock_fields(d):
 SELECT event_id, CAST({h} AS INTEGER) AS minute, lpad(CAST(hour(ts) AS VARCHAR(2)), 2, '0') || ':' || lpad(CAST(minute(ts) AS VARCHAR(2)), 2, '0') AS hm, CAST({d.weekday("CAST(ts AS DATE)")} AS INTEGER) AS weekday, CAST({d.days("DATE '2024-01-01'", "CAST(ts AS DATE)")} + 1 AS INTEGER) AS day_number FROM {d.t("events")}"""
 
 
-@query
-def sliding_rate_limit(d):
-    """Signups with more than two others within the hour before them."""
-    return f"SELECT event_id, n FROM (SELECT event_id, count(*) OVER (ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_id, {d.seconds('ts')} AS s FROM {d.t('events')} WHERE event_type = 'signup') x) y WHERE n > 3"
+def sliding_rate_limit_sql(d) -> str:
+    return f"SELECT event_id, n FROM (SELECT event_id, count(*) OVER (ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_id, {d.seconds('ts')} AS s FROM {d.t('events')} WHERE event_type = 'signup') x) y WHERE n > 1"
 
 
 @query
@@ -180,3 +180,49 @@ def trailing_staleness(d):
 def seasonal_words(d):
     """Hours as spans of the day, and how many events of each type fall in them."""
     return f"SELECT event_type, CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS span, count(*) AS n FROM {d.t('events')} GROUP BY event_type, CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END"
+
+
+@frame(round_robin_interleave_sql(DuckDB()))
+def round_robin_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken in turn from each source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    turn = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return running(turn, ["n", "source"]).select("doc_id", F.col("place").cast("int").alias("place"))
+
+
+def recent(rows: DataFrame, seconds: int) -> DataFrame:
+    """``rows`` (id, at in seconds) with how many there are within ``seconds`` up to each, itself included. Each row stands in
+    its own span of that length and in the next, so that a span's window has all it looks back on."""
+    spans = rows.select("id", "at", F.floor(F.col("at") / seconds).alias("own")).withColumn("span", F.explode(F.array("own", F.col("own") + 1)))
+    n = F.count(F.lit(1)).over(Window.partitionBy("span").orderBy("at").rangeBetween(-seconds, 0))
+    return spans.withColumn("n", n).where("span = own").select("id", "at", "n")
+
+
+@frame(sliding_rate_limit_sql(DuckDB()))
+def sliding_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups with another one within the hour before them."""
+    signups = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'").select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return recent(signups, 3600).where("n > 1").select(F.col("id").alias("event_id"), "n")
+
+
+# What a member's name may be made of, and the roles.
+NAME, ROLES = r"^[A-Za-z0-9 _.'-]{2,40}$", ("reader", "writer", "guest")
+
+
+def admitted(members: DataFrame, most: int = 300, seconds: int = 3600) -> DataFrame:
+    """``members`` (id, at, name, role) with why each is not admitted: a bad name, no known role, too many within the hour."""
+    seen = recent(members.select("id", "at"), seconds).select("id", "n")
+    why = F.filter(F.array(F.when(~F.coalesce(F.col("name").rlike(NAME), F.lit(False)), "name"), F.when(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), "role"), F.when(F.col("n") > most, "rate")), lambda x: x.isNotNull())
+    return members.join(seen, "id").select("id", "name", "role", why.alias("why"))
+
+
+@frame("""
+WITH s AS (SELECT event_id, floor(epoch(ts))::BIGINT AS s, 'u ' || props AS name, CASE event_type WHEN 'click' THEN 'reader' WHEN 'view' THEN 'guest' ELSE event_type END AS role FROM events),
+n AS (SELECT *, count(*) OVER (ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM s)
+SELECT array_to_string(list_filter([CASE WHEN NOT regexp_matches(name, '^[A-Za-z0-9 _.''-]{2,40}$') THEN 'name' END, CASE WHEN role NOT IN ('reader', 'writer', 'guest') THEN 'role' END, CASE WHEN n > 4 THEN 'rate' END], lambda x: x IS NOT NULL), ',') AS why, count(*) AS members FROM n GROUP BY 1""")
+def admitted_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as members who join."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    role = F.when(F.col("event_type") == "click", "reader").when(F.col("event_type") == "view", "guest").otherwise(F.col("event_type"))
+    members = e.select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.concat(F.lit("u "), "props").alias("name"), role.alias("role"))
+    return admitted(members, 4).groupBy(F.array_join("why", ",").alias("why")).agg(F.count(F.lit(1)).alias("members"))

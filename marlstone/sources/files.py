@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
+import urllib.request
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,14 +30,77 @@ def strict_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def repaired_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines without the torn last one of a file; any other bad line fails, with the file and line in the message."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("no", "line"), F.size(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("n"))
-    row = F.from_json("line", T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    read = lines.withColumn("row", row).withColumn("bad", F.col("row._bad").isNotNull() | F.col("row").isNull())
-    wrong = read.where("bad and no < n - 1").select("file", "no").limit(1).collect()  # read once for this before any row is used
-    if wrong:
-        raise ValueError(f"{wrong[0]['file']}:{wrong[0]['no'] + 1}: bad line")
-    return read.where("not bad").select("row.*").drop("_bad")
+    """JSON lines without the torn last one of a file; any other bad line fails, with the file and line in the message. Lines
+    are read in parallel; only files with a bad line are looked at as a whole, a file a task."""
+    full = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_bad", T.StringType())])
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
+    bad = F.col("row._bad").isNotNull() | F.col("row").isNull()
+    damaged = [r["file"] for r in rows.where(bad).select("file").distinct().limit(1000).collect()]  # damaged files are few, or there is something else wrong
+    if damaged:
+        lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
+        whole = spark.read.text(damaged, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("no", "line"), F.size(lines).alias("n"))
+        row = F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        wrong = whole.withColumn("row", row).where(bad & (F.col("no") < F.col("n") - 1)).orderBy("file", "no").select("file", "no").first()
+        if wrong:
+            raise ValueError(f"{wrong['file']}:{wrong['no'] + 1}: bad line")
+    return rows.where(~bad).select("row.*").drop("_bad")
+
+
+def write_lines(df: DataFrame, path: str, append: bool = False, compression: str = "none") -> None:
+    """JSON lines, whole or not at all: the committer of the job moves finished files into place. With ``append``, files are
+    added beside those that are there; with gzip this is how drawn candidates are logged."""
+    df.write.mode("append" if append else "errorifexists").option("compression", compression).json(path)
+
+
+def write_works(works: DataFrame, path: str) -> None:
+    """A gzip file for each work (work, text), named by it."""
+    works.select("text", "work").write.partitionBy("work").option("compression", "gzip").option("lineSep", "\n\n").text(path)
+
+
+def read_works(spark: SparkSession, path: str) -> DataFrame:
+    """(work, text) of the gzip files that write_works() wrote, without the blank line at their ends."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=False).select("work", F.regexp_replace("value", r"\n\n\z", "").alias("text"))
+
+
+def snapshot(spark: SparkSession, folder: str, schema: str, name: str) -> DataFrame:
+    """The day documents of one snapshot: a folder has a subfolder for each (snapshot_id=...); others are not read."""
+    df = spark.read.schema(schema).option("multiLine", True).option("basePath", folder).json(f"{folder}/snapshot_id={name}/*.json")
+    return df.withColumn("date", F.to_date(F.substring(F.col("_metadata.file_name"), 1, 10)))
+
+
+def history(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Every snapshot's day documents with (snapshot_id, date) and ``before``: the snapshot that had the date before it."""
+    from pyspark.sql import Window
+
+    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "????-??-??.json").json(folder)
+    df = df.withColumn("date", F.to_date(F.substring(F.col("_metadata.file_name"), 1, 10))).withColumn("snapshot_id", F.regexp_extract("_metadata.file_path", "snapshot_id=([^/]*)/", 1))
+    return df.withColumn("before", F.lag("snapshot_id").over(Window.partitionBy("date").orderBy("snapshot_id")))
+
+
+def runs_decoded(runs: Column) -> Column:
+    """Values of runs (array of value, n)."""
+    return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["value"], r["n"].cast("int"))))
+
+
+def runs_encoded(values: Column) -> Column:
+    """Runs (value, n) of an array."""
+    starts = F.filter(F.transform(values, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(values, i - 1)), i)), lambda i: i.isNotNull())
+    return F.transform(starts, lambda s, k: F.struct(F.get(values, s).alias("value"), (F.coalesce(F.get(starts, k + 1), F.size(values)) - s).alias("n")))
+
+
+def deltas(values: Column) -> Column:
+    """Differences of neighbours, the first from zero."""
+    return F.transform(values, lambda x, i: x - F.when(i > 0, F.get(values, i - 1)).otherwise(F.lit(0)))
+
+
+def sums(differences: Column) -> Column:
+    """Values of differences."""
+    return F.transform(differences, lambda x, i: F.aggregate(F.slice(differences, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y))
+
+
+def words_of(text: str) -> tuple[str, ...]:
+    """The words of a term list as a plain tuple, such as stop words for a search."""
+    return tuple(dict.fromkeys(w for line in text.splitlines() if not line.startswith("#") for w in line.split()))
 
 
 def latest_on_or_before(df: DataFrame, date: Column, key: str = "date") -> DataFrame:
@@ -68,8 +135,9 @@ def sealed(spark: SparkSession, folder: str, manifest: dict[str, str]) -> None:
         raise ValueError(f"not as sealed: {', '.join(wrong)}")
 
 
-def headlines(spark: SparkSession, path: str, most: int = 6) -> DataFrame:
-    """Titles of RSS and Atom files: tags stripped, squeezed, 20 to 160 characters, once by their first 60, at most six a file."""
+def headlines(spark: SparkSession, path: str, most: int = 6, out: str | None = None, unless: str | None = None) -> DataFrame:
+    """Titles of RSS and Atom files: tags stripped, squeezed, 20 to 160 characters, once by their first 60, at most six a file. Titles that match
+    ``out`` are left out, unless they match ``unless``."""
     from pyspark.sql import Window
 
     feeds = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("feed"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<(?:item|entry)\b.*?</(?:item|entry)>"), F.lit(0))).alias("pos", "item"))
@@ -78,6 +146,8 @@ def headlines(spark: SparkSession, path: str, most: int = 6) -> DataFrame:
         title = F.replace(title, F.lit(a), F.lit(b))
     title = F.trim(F.regexp_replace(F.regexp_replace(title, "<[^>]*>", " "), r"\s+", " "))
     kept = feeds.select("feed", "pos", title.alias("title")).where(F.length("title").between(20, 160))
+    if out:
+        kept = kept.where(~F.col("title").rlike(out) | (F.col("title").rlike(unless) if unless else F.lit(False)))
     first = Window.partitionBy(F.lower(F.substring("title", 1, 60))).orderBy("feed", "pos")
     kept = kept.withColumn("n", F.row_number().over(first)).where("n = 1")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("feed").orderBy("pos"))).where(F.col("place") <= most).select("feed", "place", "title")
@@ -94,9 +164,10 @@ def map_extract(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     return nodes, ways, relations
 
 
-def report(df: DataFrame, columns: dict[str, str], order: list[str]) -> DataFrame:
-    """One row with a Markdown table of ``df``; nulls as a dash."""
-    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("–")) for c in columns]), F.lit(" |"))
+def report(df: DataFrame, columns: dict[str, str], order: list[str], shares: tuple[str, ...] = ()) -> DataFrame:
+    """One row with a Markdown table of ``df``, a report of few rows; nulls as a dash, shares as whole percentages."""
+    told = lambda c: F.concat(F.round(100 * F.col(c)).cast("int").cast("string"), F.lit("%")) if c in shares else F.col(c).cast("string")
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(told(c), F.lit("–")) for c in columns]), F.lit(" |"))
     head = "| " + " | ".join(columns.values()) + " |\n|" + "---|" * len(columns)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], cells.alias("line")))), lambda x: x["line"]), "\n")
     return df.agg(F.concat(F.lit(head + "\n"), body).alias("table"))
@@ -104,7 +175,35 @@ def report(df: DataFrame, columns: dict[str, str], order: list[str]) -> DataFram
 
 def fresh(df: DataFrame, ttl: str, at: str = "ingested_at", now: Column | None = None) -> DataFrame:
     """Rows not older than ``ttl``; all of them if none is, as a stale copy beats none."""
-    from pyspark.sql import Window
-
     young = F.col(at) >= (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {ttl}")
-    return df.withColumn("__y", young).withColumn("__any", F.max(F.col("__y").cast("int")).over(Window.partitionBy())).where("__y or __any = 0").drop("__y", "__any")
+    some = df.agg(F.coalesce(F.bool_or(young), F.lit(False)).alias("__some"))  # one row
+    return df.join(F.broadcast(some)).where(young | ~F.col("__some")).drop("__some")
+
+
+def with_retries(fetch: Callable[[str], str], url: str, tries: int = 4, wait: float = 0.5) -> str:
+    """``fetch`` of an address, tried again after pauses that double; the last error is raised."""
+    for k in range(tries):
+        try:
+            return fetch(url)
+        except Exception:
+            if k == tries - 1:
+                raise
+            time.sleep(wait * 2**k)
+    raise ValueError("no tries")
+
+
+def over_http(url: str) -> str:
+    with urllib.request.urlopen(url, timeout=30) as answer:
+        return answer.read().decode("utf-8")
+
+
+def json_pages(urls: DataFrame, schema: str, fetch: Callable[[str], str] = over_http, tries: int = 4, wait: float = 0.5) -> DataFrame:
+    """(url, row) of JSON answers at ``urls`` (url), fetched by the executors, each with retries; an answer that is no JSON of
+    that schema gives null. Addresses are dealt out, so that many are fetched at once."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"url": pdf["url"], "body": [with_retries(fetch, u, tries, wait) for u in pdf["url"]]})
+
+    found = urls.select("url").mapInPandas(run, "url string, body string")
+    return found.select("url", F.from_json("body", schema).alias("row"))
