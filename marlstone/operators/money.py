@@ -69,10 +69,9 @@ def accrued(looks: DataFrame, costs: Sequence[tuple[str, str, float, dict]]) ->
     day is after the one charged before, or, at the first look, is that day. ``costs`` are (cost, to, amount, rule)."""
     each = F.array(*[F.struct(F.lit(c).alias("cost"), F.lit(to).alias("to"), F.lit(float(n)).alias("amount"), last_due(F.col("day"), r).alias("since")) for c, to, n, r in costs])
     days = looks.select("key", "day").distinct().select("key", "day", F.explode(each).alias("c")).select("key", "day", "c.*").where("since is not null")
-    before = F.coalesce(F.lag("since").over(Window.partitionBy("key", "cost").orderBy("day")), F.date_sub("day", 1))
-    # the first look of a key counts, not the first at which this cost had a due day
-    first = looks.groupBy("key").agg(F.date_sub(F.min("day"), 1).alias("begin"))
-    found = days.withColumn("before", before).join(first, "key").where(F.col("since") > F.greatest("begin", F.when(F.col("before") < F.col("since"), F.col("before")).otherwise(F.col("since"))))
+    begin = looks.groupBy("key").agg(F.min("day").alias("begin"))
+    before = F.lag("since").over(Window.partitionBy("key", "cost").orderBy("day"))
+    found = days.withColumn("before", before).join(begin, "key").where((F.col("since") >= F.col("begin")) & (F.col("before").isNull() | (F.col("since") > F.col("before"))))
     return found.select("key", "day", "cost", "to", "amount", "since", F.concat_ws(":", F.lit("cost"), "cost", F.col("since").cast("string")).alias("charge"))
 
 
