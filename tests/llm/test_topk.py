@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from marlstone.llm.topk import SortedLists, quantised, top_k
+from marlstone.llm import topk
+from marlstone.llm.topk import SortedLists, bounds, centres, nearest, quantised, top_k
 
 
 def brute(ids, v, own, q, k):
@@ -60,3 +61,38 @@ def test_frames(spark):
         assert [(b, c) for _, b, c in sorted(got)] == brute(ids, v, own, v[list(ids).index(own)], 5)
         assert [a for a, _, _ in sorted(got)] == [1, 2, 3, 4, 5]
     assert top_k(q.limit(0), q.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_around_centres(spark, seed, monkeypatch):
+    """Vectors in clumps: every score is right, and blocks that can't reach a query's floor aren't searched."""
+    rng = np.random.default_rng(seed)
+    middle = rng.integers(-60, 61, size=(12, 8))
+    v = middle[rng.integers(0, 12, 600)] + rng.integers(-3, 4, size=(600, 8))
+    v[:40] = v[0]
+    df = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(v)], "id long, v array<long>")
+    asked = []
+    own = topk.stored
+    monkeypatch.setattr(topk, "stored", lambda d, label, *a: (lambda t: (asked.append(t.count()) if label == "topk-asked" else None, t)[1])(own(d, label, *a)))
+    found = {}
+    for r in top_k(df, df.where("id % 10 = 0"), 7, candidate_block=50, query_block=16, sample=300).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 600, 10):
+        assert [(b, c) for _, b, c in sorted(found[q])] == brute(np.arange(600), v, q, v[q], 7)
+    assert asked[0] == 60 and sum(asked) < 60 * 12 / 2
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(500, 5)) * 30
+    mid = centres(v, 9)
+    near, far = nearest(v, mid)
+    radius = np.array([far[near == i].max(initial=0) for i in range(9)])
+    for q in rng.normal(size=(50, 5)) * 100:
+        high = bounds(q, mid, radius)
+        assert all((v[near == i] @ q <= high[i]).all() for i in range(9))
+
+
+def test_floor_keeps_ties():
+    lists = SortedLists(np.arange(6), np.array([[1], [3], [3], [2], [3], [0]]))
+    assert lists.top(-1, np.array([2]), 2, 6.0)[0].tolist() == [1, 2] and lists.top(-1, np.array([2]), 2, 7.0)[0].tolist() == []
