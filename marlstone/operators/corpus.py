@@ -422,16 +422,6 @@ def length_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("source", "n").agg(F.min("len").alias("least"), at(0.1).alias("p10"), at(0.5).alias("median"), at(0.9).alias("p90"), F.max("len").alias("most"))
 
 
-@query
-def term_rate(d):
-    """Uses of some terms per hundred words, and sentences with one, by source."""
-    p = "(license|token|state|that|und|que)"
-    return f"""
-WITH t AS (SELECT source, lower(text) AS text FROM {d.t("documents")}),
-n AS (SELECT source, {d.size(d.find("text", p))} AS hits, {d.size(d.find("text", "[a-z]+"))} AS words, {d.size(d.keep(d.find("text", "[^.!?]+"), d.like("x", p)))} AS sentences FROM t)
-SELECT source, CAST(sum(hits) AS BIGINT) AS hits, round(CAST(100 * sum(hits) AS DOUBLE) / CASE WHEN sum(words) = 0 THEN 1 ELSE sum(words) END, 6) AS per_100, CAST(sum(sentences) AS BIGINT) AS sentences FROM n GROUP BY source"""
-
-
 @query
 def titles_and_slugs(d):
     """A document's first line as slug and header key, cut at a word."""
@@ -470,32 +460,6 @@ WITH s AS (SELECT doc_id, {d.find("text", "[a-z,] [A-Z][a-z]+")} AS n FROM {d.t(
 SELECT substr(found, 3) AS name, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM one GROUP BY substr(found, 3)"""
 
 
-@query
-def topical_filter(d):
-    """Documents that name a crime word are dropped unless they name strife, too; word lists by prefix."""
-    crime, strife = "(kill|death|shot|arrest|fire|thing)", "(war|border|protest|that)"
-    return f"SELECT lang, count(*) AS documents, CAST(sum(CASE WHEN NOT {d.like('lower(text)', crime)} OR {d.like('lower(text)', strife)} THEN 1 ELSE 0 END) AS BIGINT) AS fit FROM {d.t('documents')} GROUP BY lang"
-
-
-@query
-def flagged_terms(d):
-    """The first term of a list in each text, whole word in any case with an optional plural, and its heading."""
-    p = "\\b(license|token|password|secret)s?\\b"
-    return f"""
-WITH f AS (SELECT doc_id, lower(regexp_extract(text, {"r" if type(d).__name__ == "SparkSQL" else ""}'(?i){p}', 1)) AS term FROM {d.t("documents")}),
-h(term, heading) AS (VALUES ('license', 'rights'), ('token', 'access'), ('password', 'access'), ('secret', 'access'))
-SELECT h.heading, f.term, count(*) AS documents FROM f JOIN h ON f.term = h.term GROUP BY h.heading, f.term"""
-
-
-@query
-def knowledge_gate(d):
-    """Long words that a document uses and no earlier document of its source does: how many are new."""
-    return f"""
-WITH tok AS (SELECT doc_id, source, {d.distinct(d.keep(words(d, "text"), "length(x) >= 8"))} AS w FROM {d.t("documents")}), one AS ({d.unnest("doc_id, source", "tok", "w", "pos", "word")}),
-f AS (SELECT doc_id, source, word, min(doc_id) OVER (PARTITION BY source, word) AS first FROM one)
-SELECT doc_id, count(*) AS long_words, CAST(sum(CASE WHEN first = doc_id THEN 1 ELSE 0 END) AS BIGINT) AS unmet FROM f GROUP BY doc_id"""
-
-
 @query
 def paraphrase_judge(d):
     """An assistant turn against the user turn before it: empty, cut off, markup, length ratio, copied run, or accepted."""

@@ -46,35 +46,12 @@ WITH u AS (SELECT t.doc_id, row_number() OVER (ORDER BY {key(d, "mix", "t.doc_id
 SELECT doc_id, 'format' AS part FROM {d.t("labels")} UNION ALL SELECT doc_id, 'general' FROM u WHERE rn <= (SELECT count(*) FROM {d.t("labels")})"""
 
 
-@query
-def first_pair_length_matched(d):
-    """Within a source, in seeded order: the first good document, and the first bad one whose length is within four fifths of its."""
-    return f"""
-WITH c AS (SELECT t.doc_id, t.source, l.quality, length(t.text) AS n, row_number() OVER (PARTITION BY t.source ORDER BY {key(d, "pair", "t.doc_id")}) AS seed FROM {d.t("documents")} t JOIN {d.t("labels")} l ON t.doc_id = l.doc_id),
-p AS (SELECT a.source, a.doc_id AS chosen, b.doc_id AS rejected, row_number() OVER (PARTITION BY a.source ORDER BY a.seed, b.seed) AS rn FROM c a JOIN c b ON a.source = b.source AND a.quality = 1 AND b.quality = 0 WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n))
-SELECT source, chosen, rejected FROM p WHERE rn = 1"""
-
-
-@query
-def best_of_k(d):
-    """Of a user's events on a day: the highest value that is no error, ties to the first; where all are errors, the first."""
-    return f"""
-WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, CASE WHEN event_type = 'error' THEN 0 ELSE -value END, ts, event_id) AS rn FROM {d.t("events")})
-SELECT user_id, day, event_id FROM c WHERE rn = 1"""
-
-
 def budget_roster_sql(d) -> str:
     return f"""
 WITH r AS (SELECT doc_id, 2.0 + ceil(length(text) / 500.0) AS cost, {key(d, "roster", "doc_id")} AS k FROM {d.t("documents")}), s AS (SELECT doc_id, sum(cost) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent, row_number() OVER (ORDER BY k) AS place FROM r)
 SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(spent AS DOUBLE) AS spent FROM s WHERE spent <= 1800"""
 
 
-@query
-def first_eligible(d):
-    """The first forty documents, in order, that are of fair length and end a sentence."""
-    return f"SELECT doc_id, CAST(n AS INTEGER) AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM {d.t('documents')} WHERE length(text) BETWEEN 500 AND 4000 AND {d.like('text', '[.!?]$')}) x WHERE n <= 40"
-
-
 @query
 def goldfish_mask(d):
     """Words of a turn whose thirteen predecessors hash to a multiple of four, which a loss would leave out."""
@@ -85,14 +62,6 @@ WITH t AS (SELECT conv_id, turn, {words(d, "text")} AS w FROM {d.t("conversation
 SELECT conv_id, turn, n AS n_words, CAST(sum(CASE WHEN pos + 13 < n AND {d.hexint("substr(" + d.sha("gram") + ", 1, 8)")} % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS dropped FROM one GROUP BY conv_id, turn, n""".replace("n AS n_words", "CAST(n AS BIGINT) AS n_words")
 
 
-@query
-def preference_pairs(d):
-    """Every pair of a good and a bad document of a source and language whose lengths are within nine tenths."""
-    return f"""
-WITH c AS (SELECT t.doc_id, t.source, t.lang, l.quality, length(t.text) AS n FROM {d.t("documents")} t JOIN {d.t("labels")} l ON t.doc_id = l.doc_id)
-SELECT a.source, a.doc_id AS chosen, b.doc_id AS rejected FROM c a JOIN c b ON a.source = b.source AND a.lang = b.lang AND a.quality = 1 AND b.quality = 0 AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n)"""
-
-
 @query
 def blind_packet(d):
     """Items in shuffled order with opaque ids, apart from the key that names them."""

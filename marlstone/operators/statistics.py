@@ -145,23 +145,6 @@ mine AS (SELECT work, word, avg(share) AS share FROM share GROUP BY work, word)
 SELECT m.work, round(avg(abs((m.share - r.mean) / r.sd)), 4) AS delta FROM mine m JOIN ref r ON m.word = r.word GROUP BY m.work"""
 
 
-@query
-def selection_policies(d):
-    """First, first passing, and best of a day's candidates: mean value and mean calls (stopping at the first that passes)."""
-    return f"""
-WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, value, event_type <> 'error' AS usable, event_type = 'click' AS pass, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS idx, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n FROM {d.t("events")}),
-p AS (SELECT user_id, day, max(n) AS n, min(CASE WHEN pass THEN idx END) AS hit, min(CASE WHEN usable THEN idx END) AS ok FROM s GROUP BY user_id, day),
-c AS (SELECT p.*, coalesce(hit, ok, 1) AS chosen FROM p)
-SELECT count(*) AS situations, round(avg(CASE WHEN s.idx = 1 THEN s.value END), 4) AS first_value, round(avg(CASE WHEN s.idx = c.chosen THEN s.value END), 4) AS filtered_value, round(avg(CASE WHEN s.idx = 1 THEN CAST(coalesce(c.hit, c.n) AS DOUBLE) END), 4) AS calls
-FROM c JOIN s ON c.user_id = s.user_id AND c.day = s.day""".replace("count(*) AS situations", "count(CASE WHEN s.idx = 1 THEN 1 END) AS situations")
-
-
-@query
-def joint_raters(d):
-    """Two raters' marks by language: joint defects only where both mark, and each one's own."""
-    return f"SELECT t.lang, count(*) AS rated, count(CASE WHEN quality = 0 AND toxic = 1 THEN 1 END) AS joint, count(CASE WHEN quality = 0 THEN 1 END) AS first, count(CASE WHEN toxic = 1 THEN 1 END) AS second FROM {d.t('labels')} l JOIN {d.t('documents')} t ON l.doc_id = t.doc_id GROUP BY t.lang"
-
-
 @query
 def offer_funnel(d):
     """Per act and day: live once, moments eligible, shown, taken; totals by act."""
@@ -176,14 +159,6 @@ def build_statistics(d):
     return f"SELECT t.lang, l.quality, count(*) AS n FROM {d.t('labels')} l JOIN {d.t('documents')} t ON l.doc_id = t.doc_id GROUP BY ROLLUP (t.lang, l.quality)"
 
 
-@query
-def corpus_gate(d):
-    """Fewer than a tenth of documents fail, the mean ratio of turns lies between 0.8 and 1.2, none is pending."""
-    return f"""
-WITH p AS (SELECT length(text) AS n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS m, trim(text) = '' AS pending FROM {d.t("conversations")})
-SELECT count(m) AS pairs, round(avg(CAST(n AS DOUBLE) / nullif(m, 0)), 6) AS ratio, count(CASE WHEN pending THEN 1 END) AS pending, coalesce(avg(CAST(n AS DOUBLE) / nullif(m, 0)) BETWEEN 0.8 AND 1.2 AND count(CASE WHEN pending THEN 1 END) = 0, false) AS pass FROM p"""
-
-
 @frame()
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The temperature of least loss: eighty bisections of the slope over 1/T in [0.05, 20]. Rows are first summed by log-odds in thousandths, so that the driver gets a bounded table."""
