@@ -144,7 +144,8 @@ def placed(candidates: DataFrame, block: int, centres_most: int, sample: int) ->
                     near[at], far[at] = nearest(v, middle[dim])
                 else:  # a length that the sample has not: one block around nothing
                     far[at] = np.linalg.norm(v, axis=1)
-            yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "dim": dims.astype(np.int32), "near": near, "far": far})
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "dim": dims.astype(np.int32), "near": near, "far": far})
 
     return stored(candidates.mapInPandas(run, "id long, v array<long>, dim int, near int, far double"), "topk-placed"), middle
 
@@ -183,7 +184,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, candidate_block: in
                             if first or (high[i] >= r.floor and not (i == top and b == 0)):
                                 for name, x in (("id", r.id), ("v", r.v), ("floor", r.floor), ("dim", len(r.v)), ("near", ids[i]), ("block", b)):
                                     out[name].append(x)
-                yield pd.DataFrame(out)
+                if out["id"]:  # an empty column of arrays has no type
+                    yield pd.DataFrame(out)
 
         return run
 

@@ -96,3 +96,13 @@ def test_bounds_hold():
 def test_floor_keeps_ties():
     lists = SortedLists(np.arange(6), np.array([[1], [3], [3], [2], [3], [0]]))
     assert lists.top(-1, np.array([2]), 2, 6.0)[0].tolist() == [1, 2] and lists.top(-1, np.array([2]), 2, 7.0)[0].tolist() == []
+
+
+def test_query_is_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = con.sql(topk.OP5_SQL).fetchall()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op5_topk(spark, sf).collect()) == sorted(want)
