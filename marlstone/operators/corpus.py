@@ -65,7 +65,7 @@ def vocab_spread(d):
     """Uses of each word, and the sources and documents that have it."""
     return f"""
 WITH tok AS (SELECT doc_id, source, {words(d, "text")} AS w FROM {d.t("documents")}), one AS ({d.unnest("doc_id, source", "tok", "w", "pos", "word")})
-SELECT word, count(*) AS uses, count(DISTINCT doc_id) AS docs, count(DISTINCT source) AS sources FROM one GROUP BY word"""
+SELECT word, CAST(sum(uses) AS BIGINT) AS uses, CAST(sum(docs) AS BIGINT) AS docs, count(*) AS sources FROM (SELECT word, source, sum(n) AS uses, count(*) AS docs FROM (SELECT word, source, doc_id, count(*) AS n FROM one GROUP BY word, source, doc_id) a GROUP BY word, source) b GROUP BY word"""
 
 
 @query
@@ -99,7 +99,7 @@ def ngram_repetition_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = [F.get("w", F.col("i") + k) for k in range(4)]
     told = places(docs, 4, "doc_id", "source").where(~reduce(or_, (x < ":" for x in word)))  # a word below the colon begins with a digit
     told = told.where(~reduce(and_, (x.isin(*stop) for x in word)))
-    keyed = told.select("doc_id", "source", "h", F.hash(*word).alias("h2"))
+    keyed = stored(told.select("doc_id", "source", "h", F.hash(*word).alias("h2")).distinct(), "corpus-phrases")
     firsts = keyed.groupBy("source", "h", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     marked = keyed.join(firsts, ["source", "h", "h2"]).where("doc_id > first").select("source", "doc_id").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("m"))
     n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents")).join(marked, "source", "left")

@@ -52,8 +52,9 @@ def save(docs: DataFrame, path: str, id_col: str, text_col: str, keep: Sequence[
     # explode_outer: a filter inferred from explode would be pushed below and find the words a second time
     one = own.select("doc", F.explode_outer("w").alias("word")).where("word is not null").where(~F.col("word").isin(*stop) if stop else F.lit(True))
     counts = stored(one.groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n")).select("doc", "word", stemmed(F.col("word")).alias("term"), "n"), "index-counts")
-    tf = counts.groupBy("term", "doc").agg(F.least(F.sum("n"), F.lit(MOST_TF)).cast("int").alias("tf"))
-    tf.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
+    tf = counts.repartition("term").groupBy("term", "doc").agg(F.least(F.sum("n"), F.lit(MOST_TF)).cast("int").alias("tf"))
+    # dealt by term and sorted: row groups have narrow ranges of terms, and no sample is drawn for ranges
+    tf.sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
     lengths = counts.groupBy("doc").agg(F.sum("n").alias("n"))
