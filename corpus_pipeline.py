@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes to the shared folder as Parquet and
 reads again for the next. All but the last return the columns of documents, with n_chars brought up to date.
+
+For every stage: null texts are kept as they are and empty ones, too (packing takes both as texts of the end token alone);
+texts of any length are taken whole; repeated rows are rows like others, of which the near-copy stage keeps one; rows
+without an id are kept unless they are toxic or copies; ties fall by id and then by the hash of the text; other columns of
+``docs``, whatever their names, are left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,21 +35,23 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier one go, and documents of which only white space is left."""
+    """Lines that match an earlier one go, and documents that lost lines and of which only white space is left."""
     found = lines.dedup(docs.select(*COLUMNS))
     return of_documents(found.where((F.size("gone") == 0) | F.col("text").rlike(r"\S")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group of similarity 0.8 or more stays, that of the least id; texts without words all stay."""
     return neardup.keep_one(docs.select(*COLUMNS))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by surrogates; no document goes."""
     return of_documents(privacy.pseudonymise(docs.select(*COLUMNS)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4,096 tokens: a row for each piece of a document, with its sequence and place."""
     import public_tokenizers as P
 
     return packing.pack_documents(docs, P.path("word_bpe_49k.json"))
