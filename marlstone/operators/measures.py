@@ -17,7 +17,7 @@ from .money import event_k
 from .records import clock_of
 
 STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
-# Words that deny, and words for numbers.
+#: Words that deny, and words for numbers.
 NEGATIONS = ("no", "not", "never", "none", "nothing", "nobody", "neither", "nor", "cannot", "without")
 NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
 

@@ -6,6 +6,7 @@ term, so that a search reads the row groups of its terms only. Queries are rows,
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -139,10 +140,13 @@ def pick(hits: DataFrame, k: int = 2, floor: float = FLOOR) -> DataFrame:
             if r.score >= RELATIVE * rows[0].score:
                 firsts.setdefault(r.lang, r)
         order = sorted(firsts.values(), key=lambda r: r.rank) * (len(firsts) > 1) + rows
-        taken = []
+        taken, passed_over = [], set()
         for r in order if rows[0].score >= floor else []:
-            if len(taken) < k and all(r.doc != t.doc and not (r.work == t.work and abs(r.pos - t.pos) <= 1) for t in taken):
+            if len(taken) == k:
+                break
+            if (r.work, r.pos) not in passed_over:
                 taken.append(r)
+                passed_over |= {(r.work, r.pos + d) for d in (-1, 0, 1)}
         return pd.DataFrame({"query": [r.query for r in taken], "doc": [r.doc for r in taken], "place": range(1, len(taken) + 1)}).astype({"place": "int32"})
 
     schema = f"query {hits.schema['query'].dataType.simpleString()}, doc {hits.schema['doc'].dataType.simpleString()}, place int"
@@ -188,9 +192,10 @@ def cut_out(text: str, parts: list[str], terms: list[list[str]], weights, limit:
     if chosen:
         return chosen
     whole = parts[max(range(len(parts)), key=lambda i: value(terms[i]))]
-    at = max(whole.rfind(x, 0, limit - 1) for x in ("; ", ", ", " — ", ": "))
-    at = at if at > limit // 2 else whole.rfind(" ", 0, limit - 1)
-    return (whole[:at] if at > 0 else whole[: limit - 1]).rstrip(" ,;:—-") + "…"
+    # the longest beginning that ends at a clause in its second half, else at a word, else anywhere
+    room = limit - 2
+    found = re.match(rf"(?s).{{{limit // 2},{room}}}(?=[;,:]\s|\s—\s)|.{{1,{room}}}(?=\s)|.{{1,{limit - 1}}}", whole)
+    return found[0].strip(" ,;:—-") + "…"
 
 
 _BUILT: dict[tuple, str] = {}

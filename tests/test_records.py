@@ -12,8 +12,8 @@ from marlstone.plans.ordering import running
 DAY = {
     "date": "2026-10-03", "complete": True, "segments": [{"from": "06:00", "to": "09:30", "at": "home"}, {"from": "09:30", "to": "24:00", "at": "office"}],
     "entries": [
-        {"k": "said", "t": "07:00", "text": "Good morning", "to": "Ramesh"}, {"k": "said", "t": "07:00", "text": "Good morning", "to": "Ramesh"}, {"k": "writing", "t": "10:00", "text": "On right"},
-        {"k": "expense", "t": "09:30", "item": "tea", "amount": 20.0}, {"k": "income", "t": "12:00", "item": "fee", "amount": 500.0, "cheque": True}, {"k": "bag", "t": "24:00", "item": "ink", "price": 90.0, "settles": False}, {"k": "world", "t": "13:00", "text": "Rain", "owe": {"to": "dhobi", "amount": 300.0, "why": "washing"}},
+        {"k": "said", "t": "07:00", "text": "Good morning", "to": "Anna"}, {"k": "said", "t": "07:00", "text": "Good morning", "to": "Anna"}, {"k": "writing", "t": "10:00", "text": "On rivers"},
+        {"k": "expense", "t": "09:30", "item": "tea", "amount": 20.0}, {"k": "income", "t": "12:00", "item": "fee", "amount": 500.0, "cheque": True}, {"k": "bag", "t": "24:00", "item": "paper", "price": 90.0, "settles": False}, {"k": "world", "t": "13:00", "text": "Rain", "owe": {"to": "laundry", "amount": 300.0, "why": "washing"}},
     ],
     "steps": [{"t": "06:00", "decision": {"action": "eat", "place": "home", "minutes": 20}}, {"t": "09:00", "decision": {"action": "walk", "place": "office", "minutes": 30}}, {"t": "11:00"}],
     "state": {"imprest": 410.0, "until": "2026-10-03T24:00"},
@@ -29,8 +29,8 @@ def test_a_day_as_records(spark, tmp_path):
     said = by(kind="statement")
     assert len(said) == 2 and {r["id"][-2:] for r in said} == {":1", ":2"} and {r["place"] for r in said} == {"home"} and {r["who"] for r in said} == {"self"}
     pay = {r["item"]: r for r in by(kind="payment")}
-    assert {k: (r["amount"], r["direction"], r["settled"]) for k, r in pay.items()} == {"tea": (20, "out", True), "fee": (500, "in", False), "ink": (90, "out", False), "washing": (300, "out", False)}
-    assert pay["tea"]["place"] == "office" and pay["ink"]["place"] is None and pay["washing"]["to"] == "dhobi"
+    assert {k: (r["amount"], r["direction"], r["settled"]) for k, r in pay.items()} == {"tea": (20, "out", True), "fee": (500, "in", False), "paper": (90, "out", False), "washing": (300, "out", False)}
+    assert pay["tea"]["place"] == "office" and pay["paper"]["place"] is None and pay["washing"]["to"] == "laundry"
     assert [(r["text"], r["place"]) for r in sorted(by(type="action"), key=lambda r: r["time"])] == [("eat", "home"), ("walk", None)]
     assert [(r["time"], r["amount"]) for r in by(type="cash")] == [("24:00", 410.0)] and len(by(kind="work")) == 1
 
