@@ -15,6 +15,7 @@ text become their ids.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import zlib
@@ -121,6 +122,17 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
+class Marks:
+    """Tells whether a word holds a special token, in letters of any case; most words are told by what all of them begin with."""
+
+    def __init__(self, marks: tuple[bytes, ...]):
+        self.begin = re.match(rb"[^A-Za-z]*", os.path.commonprefix(marks))[0] if marks else None
+        self.any = re.compile(b"|".join(map(re.escape, marks)), re.IGNORECASE)
+
+    def within(self, word: bytes) -> bool:
+        return self.begin is not None and self.begin in word and self.any.search(word) is not None
+
+
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -128,8 +140,6 @@ def words_of(path: str):
     """The tokenizer, the ids of words met so far (little-endian, 4 bytes an id), kept in a worker between tasks, and a pattern of its special tokens."""
     takes_turn("packing", _TOKENIZERS.clear)
     if path not in _TOKENIZERS:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -137,7 +147,7 @@ def words_of(path: str):
             raise RuntimeError("ids are kept as little-endian 4-byte numbers")
         t = Tokenizer.from_file(path)
         marks = tuple(x.content.encode() for x in t.get_added_tokens_decoder().values())
-        _TOKENIZERS[path] = t, {}, re.compile(b"|".join(map(re.escape, marks)) if marks else b"(?!)", re.IGNORECASE)
+        _TOKENIZERS[path] = t, {}, Marks(marks)
     return _TOKENIZERS[path]
 
 
@@ -145,10 +155,10 @@ def words_of(path: str):
 MARKS = b".,;:!?%$#*&|()"
 
 
-def parts_of(word: bytes, special: re.Pattern) -> tuple[bytes, ...]:
+def parts_of(word: bytes, special: Marks) -> tuple[bytes, ...]:
     """What may be encoded for itself. A word that holds a special token, in letters of any case, stays as it is: only its
     own spelling is one, and it has an id of its own."""
-    if special.search(word):
+    if special.within(word):
         return (word,)
     base = word.rstrip(MARKS)
     if base and len(base) < len(word) and base.decode()[-1].lower()[-1].isalpha():  # one letter becomes a letter and a mark
@@ -170,7 +180,7 @@ def encode_all(path: str, texts: list[str]) -> list[bytes]:
         known[p] = array("I", e.ids).tobytes()
     for w, x in cut.items():
         if w not in known:
-            known[w] = b"".join([known[p] for p in x])
+            known[w] = known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]]
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
