@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded
+from ..functions.text import STOPWORDS, folded
 from ..plans.dialect import frame
 from .corpus import NEEDLES, benchmark_runs, table
 from .money import WEEKDAYS, event_k
@@ -397,3 +397,35 @@ def cited_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = e.where("event_type in ('error', 'signup')").select(F.col("event_id").alias("claim"), F.when(F.col("event_type") == "error", "fact").otherwise("guess").alias("kind"), F.array(F.col("event_id") - 1, F.col("event_id") - event_k()).alias("cites"))
     records = e.select(F.col("event_id").alias("record"), F.when(F.col("event_type") == "view", "statement").when(F.col("event_type") == "click", "intention").otherwise("event").alias("kind"), F.col("props").alias("text"), F.lit(False).alias("verified"))
     return claim_evidence(claims, records)
+
+
+def is_english(text: Column, words: int = 15, stop_share: float = 0.30, foreign: float = 0.02) -> Column:
+    """Of the first 200 words in letters A to Z: at least so many, and that share of stop words; and few characters beyond ASCII."""
+    low = F.slice(F.regexp_extract_all(F.replace(F.lower(text), F.lit("’"), F.lit("'")), F.lit("[a-z']+"), F.lit(0)), 1, 200)
+    stops = F.size(F.filter(low, lambda w: w.isin(*STOPWORDS)))
+    beyond = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
+    return (F.size(low) >= words) & (beyond <= foreign * F.length(text)) & (stops >= stop_share * F.size(low))
+
+
+def usable_chats(turns: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """(conv, why) of turns (conv, turn, source, role, text): why a conversation is no use: another source than allowed, not
+    two to six turns from user to assistant in turn, an empty one, over 3,000 characters, a last one under forty, not English."""
+    chats = turns.groupBy("conv", "source").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.trim("text").alias("text")))).alias("m"))
+    wanted = lambda x, i: F.when(i % 2 == 0, "user").otherwise("assistant") != x["role"]
+    text = F.array_join(F.transform("m", lambda x: x["text"]), " ")
+    why = found_errors([("source", ~F.col("source").isin(*sources)), ("turns", ~F.size("m").between(2, 6) | (F.size("m") % 2 == 1) | F.exists(F.transform("m", wanted), lambda x: x)), ("empty", F.exists("m", lambda x: x["text"] == "")), ("long", F.length(text) > 3000), ("short", F.length(F.element_at("m", -1)["text"]) < 40), ("language", ~is_english(text))])
+    return chats.select("conv", why.alias("why"))
+
+
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
+
+
+@frame(rf"""
+WITH o AS (SELECT conv_id, turn, role, trim(text) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations),
+c AS (SELECT conv_id, any_value(k) AS k, bool_or(role <> CASE WHEN n % 2 = 1 THEN 'user' ELSE 'assistant' END) AS bad, bool_or(text = '') AS bare, string_agg(text, ' ' ORDER BY turn) AS t, max(CASE WHEN n = k THEN length(text) END) AS last FROM o GROUP BY conv_id),
+w AS (SELECT *, regexp_extract_all(replace(lower(t), '’', ''''), '[a-z'']+')[1:200] AS w FROM c), e AS (SELECT *, len(w) >= 15 AND length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) <= 0.02 * length(t) AND len(list_filter(w, lambda x: x IN ({STOP_SQL}))) >= 0.30 * len(w) AS english FROM w)
+SELECT conv_id, array_to_string(list_filter([CASE WHEN conv_id % 7 = 0 THEN 'source' END, CASE WHEN k NOT BETWEEN 2 AND 6 OR k % 2 = 1 OR bad THEN 'turns' END, CASE WHEN bare THEN 'empty' END, CASE WHEN length(t) > 3000 THEN 'long' END, CASE WHEN last < 40 THEN 'short' END, CASE WHEN NOT english THEN 'language' END], lambda x: x IS NOT NULL), ',') AS why FROM e""")
+def chat_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why conversations are no use; every seventh is of another source."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), "turn", F.when(F.col("conv_id") % 7 == 0, "other").otherwise("own").alias("source"), "role", "text")
+    return usable_chats(turns, ["own"]).select(F.col("conv").alias("conv_id"), F.array_join("why", ",").alias("why"))

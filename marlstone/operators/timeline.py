@@ -17,13 +17,13 @@ def steps(d) -> str:
 
 @query
 def daily_scoreboard(d):
-    """One row a day: steps, users, share of quiet views, the commonest error payload (ties by first seen) and whether it loops."""
+    """One row a day: steps, users, share of quiet views, the commonest error payload (ties by first seen) and whether it loops, meals (purchases), distinct places, and cash at its open and close."""
     return f"""
 WITH s AS ({steps(d)}), e AS (SELECT CAST(ts AS DATE) AS day, {d.sub("props", "[0-9]+", "#")} AS kind, count(*) AS n, min(event_id) AS first FROM {d.t("events")} WHERE event_type = 'error' GROUP BY CAST(ts AS DATE), {d.sub("props", "[0-9]+", "#")}),
 top AS (SELECT day, kind, n, row_number() OVER (PARTITION BY day ORDER BY n DESC, first) AS rn FROM e)
 SELECT s.day, count(*) AS steps, count(DISTINCT s.user_id) AS users, count(CASE WHEN act = 'view' THEN 1 END) AS quiet, round(CAST(count(CASE WHEN act = 'view' THEN 1 END) AS DOUBLE) / count(*), 6) AS quiet_share,
-  max(top.kind) AS top_error, coalesce(max(top.n), 0) AS top_errors, coalesce(max(top.n), 0) >= 4 AS loops
-FROM s LEFT JOIN top ON s.day = top.day AND top.rn = 1 GROUP BY s.day"""
+  max(top.kind) AS top_error, coalesce(max(top.n), 0) AS top_errors, coalesce(max(top.n), 0) >= 4 AS loops, count(CASE WHEN act = 'purchase' THEN 1 END) AS meals, max(p.places) AS places, min_by(s.value, s.event_id) AS cash_open, max_by(s.value, s.event_id) AS cash
+FROM s LEFT JOIN top ON s.day = top.day AND top.rn = 1 LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(DISTINCT TRY_CAST({d.field("props", "k")} AS INTEGER) % 4) AS places FROM {d.t("events")} GROUP BY CAST(ts AS DATE)) p ON s.day = p.day GROUP BY s.day"""
 
 
 @query

@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def days(spark: SparkSession, folder: str, schema: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """Nested JSON documents named by date, one a file, with ``date`` from the name; only files between the dates are read."""
+def days(spark: SparkSession, folder: str, schema: str, first: str | None = None, last: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Nested JSON documents named by date, one a file, with ``date`` from the name; only files between the dates are read, and
+    only dates that ``index`` (date) lists are kept, if it is given."""
     df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "????-??-??.json").json(folder)
     named = F.col("_metadata.file_name")
     if first:
         df = df.where(named >= f"{first}.json")
     if last:
         df = df.where(named <= f"{last}.json")
-    return df.withColumn("date", F.to_date(F.substring(named, 1, 10)))
+    df = df.withColumn("date", F.to_date(F.substring(named, 1, 10)))
+    return df if index is None else df.join(index.select(F.col("date").cast("date").alias("date")), "date", "left_semi")
 
 
 def strict_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
