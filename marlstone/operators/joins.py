@@ -175,6 +175,14 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shortest(edges(spark, sf_dir).withColumn("cost", F.lit(1)), 0).withColumnRenamed("cost", "steps")
 
 
+@frame(f"""
+WITH RECURSIVE {EDGES}, e AS (SELECT u, v FROM edge WHERE cost = 1 UNION SELECT v, u FROM edge WHERE cost = 1), walk(node, root, steps) AS (SELECT u, u, 0 FROM e UNION SELECT w.node, e.v, w.steps + 1 FROM walk w JOIN e ON e.u = w.root WHERE w.steps < 25)
+SELECT CAST(node AS INTEGER) AS node, CAST(min(root) AS INTEGER) AS root FROM walk GROUP BY node""")
+def connected_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least nation that each can be reached from over the cheapest edges."""
+    return components(edges(spark, sf_dir).where("cost = 1").select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+
 @frame()
 def group_isolated_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that share a text are one group; groups in hash order, the prefix nearest a fifth of the documents is held out (never all)."""

@@ -137,10 +137,10 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @frame("""
-SELECT event_type, count(*) AS total, count(*) FILTER (WHERE json_extract_string(props, '$.k')::INT >= 10) AS ok, median(value) AS median_s, max(value) AS most_s FROM events GROUP BY event_type""")
+SELECT event_type, count(*) AS total, count(*) FILTER (WHERE json_extract_string(props, '$.k')::INT >= 10) AS ok, round(median(value), 4) AS median_s, max(value) AS most_s FROM events GROUP BY event_type""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that went well of all, and the middle and longest time they took."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(event_k() >= 10).alias("ok"), F.percentile("value", 0.5).alias("median_s"), F.max("value").alias("most_s"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(event_k() >= 10).alias("ok"), F.round(F.percentile("value", 0.5), 4).alias("median_s"), F.max("value").alias("most_s"))
 
 
 def by_position(rows: DataFrame, key: str, answers: str, metric: Callable[[Column], Column]) -> DataFrame:
@@ -513,10 +513,10 @@ def source_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @frame("""
-SELECT o_custkey, round(var_pop(o_totalprice) / avg(o_totalprice), 6) AS value FROM orders GROUP BY o_custkey""")
+SELECT o_custkey, round(var_pop(o_totalprice) / avg(o_totalprice), 2) AS value FROM orders GROUP BY o_custkey""")
 def metric_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's metric of each customer's prices: their variance over their mean."""
-    return by_group(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", lambda x: x.var(ddof=0) / x.mean()).select("o_custkey", F.round("value", 6).alias("value"))
+    return by_group(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", lambda x: x.var(ddof=0) / x.mean()).select("o_custkey", F.round("value", 2).alias("value"))
 
 
 @frame("""

@@ -227,7 +227,7 @@ def effects(choices: DataFrame, answers: DataFrame) -> DataFrame:
 
 @frame("""
 WITH a(event_type, no, effect, amount, days) AS (VALUES ('purchase', 0, 'owe', 20.0, 7), ('purchase', 1, 'schedule', NULL, 1), ('signup', 0, 'pay', 100.0, 0), ('error', 0, 'reprice', -5.0, 0), ('error', 1, 'owe', 1.0, 30), ('error', 2, 'bank', NULL, 2))
-SELECT e.event_type, a.no, a.effect, ts::DATE + a.days AS day, count(*) AS n, sum(a.amount) AS amount FROM events e JOIN a USING (event_type) GROUP BY e.event_type, a.no, a.effect, ts::DATE + a.days""")
+SELECT e.event_type, a.no, a.effect, ts::DATE + a.days AS day, count(*) AS n, sum(a.amount)::DOUBLE AS amount FROM events e JOIN a USING (event_type) GROUP BY e.event_type, a.no, a.effect, ts::DATE + a.days""")
 def ledger_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What event types do to a ledger, by day."""
     does = {"purchase": [("owe", 20.0, 7), ("schedule", None, 1)], "signup": [("pay", 100.0, 0)], "error": [("reprice", -5.0, 0), ("owe", 1.0, 30), ("bank", None, 2)]}
