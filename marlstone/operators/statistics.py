@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..plans.dialect import frame, query
+from ..plans.dialect import DuckDB, frame, query
+from ..plans.ordering import running
 
 
 def scored(d) -> str:
@@ -34,9 +37,7 @@ g AS (SELECT 'f' AS gate, round(fb - fa, 3) AS diff, 5.0 AS most FROM x UNION AL
 SELECT gate, diff, CASE WHEN diff IS NULL THEN 'UNDETERMINED' WHEN (most > 0 AND diff <= most + 1e-9) OR (most <= 0 AND diff >= most - 1e-9) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g"""
 
 
-@query
-def quantile_spread(d):
-    """Count, median, quartiles and range of quantities' prices by flag and status."""
+def quantile_spread_sql(d) -> str:
     q = lambda f: f"round({d.quantile('l_extendedprice', f)}, 4)"
     return f"SELECT l_returnflag, l_linestatus, count(*) AS n, {q(0.5)} AS median, {q(0.25)} AS q1, {q(0.75)} AS q3, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM {d.t('lineitem')} GROUP BY l_returnflag, l_linestatus"
 
@@ -97,9 +98,7 @@ o AS (SELECT diff, row_number() OVER (ORDER BY diff) AS rn FROM m)
 SELECT round(CAST(count(CASE WHEN diff > 0.05 THEN 1 END) AS DOUBLE) / count(*), 6) AS failed, round(max(CASE WHEN rn = 11 THEN diff END), 6) AS low, round(max(CASE WHEN rn = 190 THEN diff END), 6) AS high FROM o"""
 
 
-@query
-def prob_greater_pairs(d):
-    """The chance that an order of one priority is dearer than one of another of its status, ties half, by ranks instead of pairs."""
+def prob_greater_pairs_sql(d) -> str:
     return f"""
 WITH x AS (SELECT o_orderstatus AS stratum, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS arm, o_totalprice AS v FROM {d.t("orders")} WHERE o_orderpriority IN ('1-URGENT', '5-LOW')),
 r AS (SELECT *, rank() OVER (PARTITION BY stratum ORDER BY v) + (count(*) OVER (PARTITION BY stratum, v) - 1) / 2.0 AS rk FROM x)
@@ -196,3 +195,51 @@ def bootstrap_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = rows.groupBy("stratum").applyInPandas(resample, "run int, diff double").groupBy("run").agg(F.avg("diff").alias("effect"))
     q = F.percentile(F.when(F.col("run") > 0, F.col("effect")), F.array(F.lit(0.025), F.lit(0.975)))
     return runs.agg(F.max(F.when(F.col("run") == 0, F.col("effect"))).alias("effect"), q.alias("q")).select("effect", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def cumulated(rows: DataFrame, by: Sequence[str], value: str, *sums: Column) -> DataFrame:
+    """(by, value, n, sums, upto, size): distinct values of each group with how many rows have them, how many have them or a
+    lesser one, and the group's size. Rows are counted by value first, and running counts go over the whole table."""
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *sums)
+    found = running(counts, [*by, value], "n").drop("place")
+    groups = found.groupBy(*by).agg(F.max("total").alias("__last"), F.sum("n").alias("size"))
+    return found.join(groups, list(by)).withColumn("upto", F.col("total") - F.col("__last") + F.col("size")).drop("total", "__last")
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, least, most, and a column for each share): quantiles with linear interpolation between neighbours."""
+    each = cumulated(rows, by, value)
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    picks = []
+    for name, q in shares.items():
+        place = F.lit(q) * (F.col("size") - 1)
+        picks += [at(F.floor(place)).alias(f"__{name}0"), at(F.ceil(place)).alias(f"__{name}1")]
+    found = each.groupBy(*by, "size").agg(F.min(value).alias("least"), F.max(value).alias("most"), *picks)
+    between = lambda name, q: (F.col(f"__{name}0") + (F.col(f"__{name}1") - F.col(f"__{name}0")) * (F.lit(q) * (F.col("size") - 1) - F.floor(F.lit(q) * (F.col("size") - 1)))).alias(name)
+    return found.select(*by, F.col("size").alias("n"), "least", "most", *[between(name, q) for name, q in shares.items()])
+
+
+@frame(quantile_spread_sql(DuckDB()))
+def quantile_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, median, quartiles and range of prices by flag and status."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    found = quantiles(lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    return found.select("l_returnflag", "l_linestatus", "n", "least", "most", *[F.round(c, 4).alias(c) for c in ("median", "q1", "q3")])
+
+
+def chance_greater(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n_on, n_off, p_greater) of rows (by, on, value): the chance that a value of one arm is greater than one of the other,
+    ties half, from the sum of ranks; equal values share their middle rank."""
+    each = cumulated(rows, [by], "value", F.count_if("on").alias("k"))
+    rank = F.col("upto") - (F.col("n") - 1) / 2
+    found = each.groupBy(by).agg(F.sum("k").alias("n_on"), (F.sum("n") - F.sum("k")).alias("n_off"), F.sum(rank * F.col("k")).alias("ranks"))
+    p = (F.col("ranks") - F.col("n_on") * (F.col("n_on") + 1) / 2) / F.nullif(F.col("n_on").cast("double") * F.col("n_off"), F.lit(0.0))
+    return found.select(by, "n_on", "n_off", p.alias("p_greater"))
+
+
+@frame(prob_greater_pairs_sql(DuckDB()))
+def prob_greater_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance that an urgent order is dearer than a low one of its status."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
+    found = chance_greater(orders.select(F.col("o_orderstatus").alias("stratum"), (F.col("o_orderpriority") == "1-URGENT").alias("on"), F.col("o_totalprice").alias("value")), "stratum")
+    return found.withColumn("p_greater", F.round("p_greater", 6))

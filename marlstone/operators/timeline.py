@@ -120,9 +120,7 @@ def round_robin_interleave_sql(d) -> str:
     return f"SELECT doc_id, CAST(row_number() OVER (ORDER BY n, source) AS INTEGER) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM {d.t('documents')}) x"
 
 
-@query
-def every_kth(d):
-    """Fifty rows of each language by index i * n / 50."""
+def every_kth_sql(d) -> str:
     return f"WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM {d.t('documents')}) SELECT doc_id, lang FROM r WHERE n <= 50 OR ceil(CAST(i AS DOUBLE) * 50 / n) < ceil(CAST(i + 1 AS DOUBLE) * 50 / n)"
 
 
@@ -226,3 +224,19 @@ def admitted_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("event_type") == "click", "reader").when(F.col("event_type") == "view", "guest").otherwise(F.col("event_type"))
     members = e.select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.concat(F.lit("u "), "props").alias("name"), role.alias("role"))
     return admitted(members, 4).groupBy(F.array_join("why", ",").alias("why")).agg(F.count(F.lit(1)).alias("members"))
+
+
+def thinned(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """n rows of each group (by, order), evenly: those at which i * n / size passes a whole number; all of a group of n or fewer.
+    Places come from one order over the whole table, less what stands before a group."""
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
+    found = running(rows.select(by, order), [by, order]).join(sizes, by)
+    first = found.groupBy(by).agg(F.min("place").alias("first"))
+    i = F.col("place") - F.col("first")
+    return found.join(first, by).where((F.col("size") <= n) | (F.ceil(i * n / F.col("size")) < F.ceil((i + 1) * n / F.col("size")))).select(by, order)
+
+
+@frame(every_kth_sql(DuckDB()))
+def every_kth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty rows of each language by index i * n / 50."""
+    return thinned(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang", "doc_id", 50).select("doc_id", "lang")
