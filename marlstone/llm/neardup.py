@@ -3,12 +3,15 @@
 1. One pass sketches every text's set of word shingles. Equal sets are one node; all that follows is about nodes.
 2. Nodes that share a band key meet in a bucket. Linking each to its bucket's least node, without any check, gives
    groups outside of which no two nodes share a bucket.
-3. The nodes that share a bucket send their full sets, read again from the texts, to the tasks of their group. A task
-   holds one block of a group, or two if the group has several; blocks are dealt by hash, so that they are of equal size
-   but for chance and for single large sets. There, node pairs of a common bucket whose sizes allow it are verified in
-   order of their sketches' agreement, and pairs that are connected already are left out: a task gives at most one link
-   less than it has nodes, however many pairs are alike.
-4. Components over the links; a document's class is the least id in its component.
+3. Each node is verified against one head, the least node of the buckets it shares most with: a row for each node, however
+   large its group. What these links connect is one part of its group. A group of one part is done.
+4. Of other groups, only pairs of different parts are left. The nodes of the largest part are dealt in blocks, and those of
+   all others, too; a task holds one block of the others, and one more of either kind, so that a large group of near copies
+   is sent once for each block of what is not yet part of it, not once for each block of itself. Blocks are dealt by hash,
+   so that they are of equal size but for chance and for single large sets. There, pairs of a common bucket whose sizes
+   allow it are verified on full sets in order of their sketches' agreement, and pairs that are connected already are left
+   out: a task gives at most one link less than it has nodes, however many pairs are alike.
+5. Components over all links; a document's class is the least id in its component.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. Texts shorter than a shingle
 are one shingle of all their words. Texts of any length are taken whole. Repeated rows are copies of each other; rows
@@ -19,6 +22,8 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -96,19 +101,25 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def links_among(items: list[np.ndarray], percent: int, first: int | None = None) -> list[tuple[int, int]]:
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets are of that similarity."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def links_among(items: list[np.ndarray], percent: int, first: int | None = None, parts: Sequence | None = None) -> list[tuple[int, int]]:
     """Links that connect all that is connected by pairs of similarity ``percent`` or more. With ``first``, only pairs of
-    one of the first so many and one of the others. Pairs that share no band key are not verified."""
+    one of the first so many and one of the others; with ``parts``, sets of equal part are connected already. Pairs that
+    share no band key are not verified."""
     n = len(items)
     sketches = np.stack([sketch.sketch(s) for s in items])
     sizes = np.array([len(s) for s in items])
     keys = np.stack([sketch.bands(x) for x in sketches])
     forest, out = Forest(n), []
 
-    def verified(a: int, b: int) -> bool:
-        x, y = items[a], items[b]
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= percent * (len(x) + len(y) - both)
+    for own in pd.Series(range(n)).groupby(pd.Series(parts)).indices.values() if parts is not None else ():
+        for b in own[1:]:
+            forest.join(int(own[0]), int(b))
 
     for a in range(n if first is None else first):
         others = np.arange(a + 1 if first is None else first, n)
@@ -124,19 +135,42 @@ def links_among(items: list[np.ndarray], percent: int, first: int | None = None)
         agree = (sketches[others] == sketches[a]).sum(axis=1)
         for i in np.argsort(-agree, kind="stable"):
             b = int(others[i])
-            if forest.root(a) != forest.root(b) and verified(a, b):
+            if forest.root(a) != forest.root(b) and alike(items[a], items[b], percent):
                 forest.join(a, b)
                 out.append((a, b))
     return out
 
 
+def headed(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of ``stars`` (a, b, n: buckets that both share) of each node with the one head it shares most buckets with."""
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    one, two = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    both = best.join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "x", "y")
+
+    def run(it):
+        for batch in it:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                fine = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def links(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``grouped`` (node, grp, n): links (a, b) that connect what is connected in each group."""
-    size = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("items"))
-    blocks = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("long")
-    dealt = grouped.join(size.withColumn("blocks", blocks), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-    sent = dealt.select("node", "grp", "own", F.explode(pairs).alias("p")).select("node", "grp", "own", "p.i", "p.j").join(sets, "node")
+    """``grouped`` (node, grp, part, n): links (a, b) that connect what is connected in each group, besides its parts."""
+    blocks = lambda nodes, items: F.greatest(F.ceil(F.col(nodes) / BLOCK_NODES), F.ceil(F.col(items) / BLOCK_ITEMS)).cast("long")
+    each = grouped.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("items"))
+    largest = each.groupBy("grp").agg(F.max(F.struct("nodes", -F.col("part"), "items")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("nodes").alias("nodes"), F.sum("items").alias("items")).where("parts > 1")
+    sizes = largest.select("grp", (-F.col("m.col2")).alias("main"), F.col("m.nodes").alias("m_nodes"), F.col("m.items").alias("m_items"), (F.col("nodes") - F.col("m.nodes")).alias("o_nodes"), (F.col("items") - F.col("m.items")).alias("o_items"), "nodes", "items")
+    sizes = sizes.withColumns({"o": blocks("o_nodes", "o_items"), "k": blocks("m_nodes", "m_items"), "all": blocks("nodes", "items")})
+    inside, whole = F.col("part") == F.col("main"), F.col("all") == 1
+    h = F.xxhash64("node")
+    dealt = grouped.join(sizes, "grp").withColumn("own", F.when(whole, F.lit(0)).when(inside, F.col("o") + F.pmod(h, F.col("k"))).otherwise(F.pmod(h, F.col("o"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cell = lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j"))
+    met = F.when(whole, F.array(F.lit(0).cast("long"))).when(inside, upto(F.col("o"))).otherwise(upto(F.col("o") + F.col("k")))
+    sent = dealt.select("node", "grp", "part", "own", F.explode(F.transform(met, cell)).alias("p")).select("node", "grp", "part", "own", "p.i", "p.j").join(sets, "node")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").drop_duplicates("node")
@@ -146,7 +180,7 @@ def links(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         else:
             first = None
         nodes = pdf["node"].to_numpy()
-        found = links_among([np.frombuffer(x, np.uint64) for x in pdf["items"]], percent, first) if len(pdf) > 1 else []
+        found = links_among([np.frombuffer(x, np.uint64) for x in pdf["items"]], percent, first, pdf["part"].to_numpy()) if len(pdf) > 1 else []
         return pd.DataFrame({"a": [nodes[a] for a, _ in found], "b": [nodes[b] for _, b in found]}, dtype="int64")
 
     return sent.groupBy("grp", "i", "j").applyInPandas(search, "a long, b long")
@@ -161,10 +195,13 @@ def classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col
     nodes = stored(each.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
     keys = nodes.select("node", F.explode("bands").alias("band"))
     buckets = keys.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
-    stars = stored(keys.join(buckets, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "neardup-stars")
-    grouped = stored(components(stars).select("node", F.col("root").alias("grp")).join(nodes.select("node", "id", "h", "key", "n"), "node"), "neardup-groups")
+    stars = stored(keys.join(buckets, "band").where("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("n")), "neardup-stars")
+    grouped = stored(components(stars.select("a", "b")).select("node", F.col("root").alias("grp")).join(nodes.select("node", "id", "h", "key", "n"), "node"), "neardup-groups")
     sets = stored(sets_of(docs, grouped, id_col, text_col), "neardup-sets")
-    found = components(links(grouped.select("node", "grp", "n"), sets, percent))
+    sure = stored(headed(stars, sets, percent), "neardup-headed")
+    parts = stored(components(sure), "neardup-parts")
+    split = grouped.select("node", "grp", "n").join(parts.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    found = components(sure.unionByName(links(stored(split, "neardup-split"), sets, percent)))
     labelled = nodes.select("key", "node", "id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = stored(labelled.select("key", "root", "id"), "neardup-roots")
     least = labelled.groupBy("root").agg(F.min("id").alias("component"))
