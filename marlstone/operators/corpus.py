@@ -108,13 +108,24 @@ def ngram_repetition_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("source", "documents", share(m).alias("marked"), share(F.round(m / F.col("documents"), 6)).alias("share"))
 
 
+def phrases_by_use(d, by: str, k: int) -> str:
+    """The k phrases of each group that most of its documents use, of those that several do; ties by phrase."""
+    return f"""
+WITH w AS (SELECT doc_id, {by}, {phrase_words("text", d)} AS w FROM {d.t("documents")}), g AS (SELECT doc_id, {by}, {d.distinct(d.grams("w", 4))} AS p FROM w), one AS (SELECT * FROM ({d.unnest(f"doc_id, {by}", "g", "p", "pos", "phrase")}) u WHERE {telling(d, "phrase")}),
+n AS (SELECT {by}, phrase, count(*) AS uses FROM one GROUP BY {by}, phrase HAVING count(*) > 1)
+SELECT {by}, phrase, uses, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY uses DESC, phrase) AS INTEGER) AS rank FROM n) r WHERE rank <= {k}"""
+
+
 @query
 def echo_phrases(d):
     """Phrases that more than one document of a language uses: the five most used, ties by phrase."""
-    return f"""
-WITH w AS (SELECT doc_id, lang, {phrase_words("text", d)} AS w FROM {d.t("documents")}), g AS (SELECT doc_id, lang, {d.distinct(d.grams("w", 4))} AS p FROM w), one AS (SELECT * FROM ({d.unnest("doc_id, lang", "g", "p", "pos", "phrase")}) u WHERE {telling(d, "phrase")}),
-n AS (SELECT lang, phrase, count(*) AS uses FROM one GROUP BY lang, phrase HAVING count(*) > 1)
-SELECT lang, phrase, uses, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY uses DESC, phrase) AS INTEGER) AS rank FROM n) r WHERE rank <= 5"""
+    return phrases_by_use(d, "lang", 5)
+
+
+@query
+def repeated_phrases(d):
+    """The three phrases of each source that most of its documents share."""
+    return phrases_by_use(d, "source", 3)
 
 
 def decontaminate_8gram_sql(d) -> str:
