@@ -95,6 +95,17 @@ def test_records_of_a_crowded_day(spark, crowded):
     assert {(r["date"], r["kind"], r["type"], r["settled"]): r["n"] for r in got} == want and all(r["ids"] == r["n"] for r in got)
 
 
+def test_places_of_a_crowded_day(spark, crowded):
+    rows, path = crowded
+    rows, want = sorted(rows, key=lambda r: (r[1], r[0])), Counter()
+    last = {(r[1].date(), r[1].strftime("%H:%M")): f"p{json.loads(r[5])['k'] % 4}" for r in rows if r[3] == "view"}
+    for r in rows:
+        if r[3] == "click":  # the last view of the minute, or else of the last minute with one
+            want[r[1].date(), next((last[m] for m in sorted(last, reverse=True) if m[0] == r[1].date() and m[1] <= r[1].strftime("%H:%M")), None)] += 1
+    got = {(r["date"], r["place"]): r["n"] for r in records.statement_places(spark, path).collect()}
+    assert got == want
+
+
 def test_clock(spark):
     df = spark.createDataFrame([("06:05",), ("24:00",), ("24:01",), ("7:5",), (None,), ("x",)], "c string")
     assert [r["m"] for r in df.select(records.minutes_of(F.col("c")).alias("m")).collect()] == [365, 1440, None, None, None, None]
