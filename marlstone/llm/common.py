@@ -13,7 +13,7 @@ from ..plans.storage import shared_dir, stored
 
 __all__ = ["Members", "fresh", "shared_dir", "stored", "table", "takes_turn"]
 
-#: Bits that a member filter has for each key, and bits it has at most: 4 MB in a plan. Fuller filters let more through, which the exact join behind them sorts out.
+#: Bits that a member filter has for each key, and bits it has at most: 4 MB. Fuller filters let more through, which the exact join behind them sorts out.
 BITS_EACH, BITS_MOST = 10, 24_000_000
 
 
@@ -31,7 +31,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 class Members:
     """A filter of 64-bit keys, sized by their number: true for each member, and for few others. Six bits a byte, so that
-    bytes are ASCII and can be looked up in a literal of the plan."""
+    bytes are ASCII and can be looked up as a string. They are stored, and a scalar subquery reads them where the filter is
+    used: in a literal they would stand in each text and copy that the driver makes and keeps of a plan, as hex digits."""
 
     def __init__(self, keys: DataFrame):
         """``keys``: one long column, stored; repeated keys do no harm."""
@@ -44,7 +45,9 @@ class Members:
         bits = np.zeros((self.places // word, word // 6), np.uint8)
         b = found.column("b").to_numpy()
         bits[found.column("w").to_numpy()] = (b[:, None] >> np.arange(0, word, 6)) & 63
-        self.table = (bits.ravel() + np.uint8(64)).tobytes()
+        spark = keys.sparkSession
+        row = spark.createDataFrame([(bytearray(bits.ravel() + np.uint8(64)),)], "bits binary").coalesce(1)
+        self.table = stored(row, "members")
 
     def place(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.places))
@@ -52,7 +55,7 @@ class Members:
     def maybe(self, key: Column) -> Column:
         """False for keys that are surely no members; null keys are none."""
         place = self.place(key)
-        byte = F.ascii(F.substring(F.lit(self.table), F.floor(place / 6).cast("int") + 1, 1).cast("string"))
+        byte = F.ascii(F.substring(self.table.scalar(), F.floor(place / 6).cast("int") + 1, 1).cast("string"))
         return key.isNotNull() & (F.floor(byte / F.pow(F.lit(2), place % 6)).cast("int") % 2 == 1)
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import lines
 from marlstone.llm.lines import dedup, op10_lines
@@ -97,3 +98,11 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((r["doc_id"], r["text"]) for r in op10_lines(spark, sf).collect()) == sorted(plainly(rows))
+
+
+def test_filters_do_not_stand_in_plans(spark):
+    """200,000 keys take 333 KB, which in a plan would be as many hex digits in each of its forms, and kept by the driver."""
+    few = lines.Members(lines.stored(spark.range(200_000).select((F.col("id") * 3).alias("k")), "keys"))
+    df = spark.range(600_000).where(few.maybe(F.col("id")))
+    assert df.where("id % 3 = 0").count() == 200_000 and df.count() < 250_000
+    assert len(df._jdf.queryExecution().toString()) < 20_000
