@@ -2,10 +2,11 @@
 
 The merges of a rank file are compiled into a transducer that reads one byte at a time. Before the determinisation it
 has one thread for each place at which a token may still be open: the vocabulary trie node reached since that place,
-and the tokens before it. A token may follow another only if merging their bytes gives those two again, which makes the
+and the token before it. A token may follow another only if merging their bytes gives those two again, which makes the
 tokens of every prefix unique. A deterministic state is the set of live threads; states and their moves are built when
-first needed and dropped together when there are too many. What all threads agree on is emitted at once, so that the
-lookahead is bounded by the longest token.
+first needed and dropped together when there are too many. A move tells the last token of the prefix read so far: what
+came before that is no part of a state, so that few states serve nearly all pieces, and the tokens are followed back from
+a piece's end.
 
 Decoding runs a state machine over tokens whose states are the bytes of an unfinished character; text comes out as soon
 as its last byte has come.
@@ -28,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import table, takes_turn
 
 #: So many states, and so many pieces of text, are remembered by a worker before it starts anew.
-MAX_STATES, MAX_PIECES = 100_000, 1_200_000
+MAX_STATES, MAX_PIECES = 400_000, 1_200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -64,7 +65,7 @@ class Transducer:
                     self.token_at.append(-1)
                 node = after
             self.token_at[node] = i
-        self.longest = max(map(len, ranks), default=0)
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
         self.pairs: dict[int, bool] = {}
         self.spines: dict[int, tuple[list, list] | None] = {}
         self.reset()
@@ -72,8 +73,8 @@ class Transducer:
     def reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.moves: list[dict[int, tuple[tuple[int, ...], int]]] = []
-        self.start = self.state((-1, ((0, ()),)))
+        self.moves: list[dict[int, tuple[int, int]]] = []
+        self.start = self.state(((0, -1),))
 
     def state(self, key: tuple) -> int:
         i = self.ids.get(key)
@@ -123,18 +124,17 @@ class Transducer:
                     return False
         return True
 
-    def move(self, i: int, byte: int) -> tuple[tuple[int, ...], int]:
-        before, threads = self.keys[i]
+    def move(self, i: int, byte: int) -> tuple[int, int]:
+        """The last token of what is read with this byte, and the state after it."""
         children, token_at, pairs = self.children, self.token_at, self.pairs
-        going, ended = [], None
-        for node, held in threads:
+        going, ended = [], -1
+        for node, left in self.keys[i]:
             after = children[node].get(byte)
             if after is None:
                 continue
-            if ended is None:
+            if ended < 0:
                 token = token_at[after]
                 if token >= 0:
-                    left = held[-1] if held else before
                     pair = left << 32 | token
                     ok = pairs.get(pair)
                     if ok is None:
@@ -142,25 +142,13 @@ class Transducer:
                             pairs.clear()
                         ok = pairs[pair] = self.follows(left, token)
                     if ok:
-                        ended = (*held, token)
+                        ended = token
             if children[after]:
-                going.append((after, held))
-        if ended is None:
+                going.append((after, left))
+        if ended < 0:
             raise ValueError("no token ends here: the ranks lack a byte")
-        n = len(ended)
-        for _, h in going:
-            n = min(n, len(h))
-            while h[:n] != ended[:n]:
-                n -= 1
-        if n:
-            out, going = ended[:n], [(x, h[n:]) for x, h in going]
-            going.append((0, ended[n:]))
-            key = (out[-1], tuple(going))
-        else:
-            out = ()
-            going.append((0, ended))
-            key = (before, tuple(going))
-        found = self.moves[i][byte] = out, self.state(key)
+        going.append((0, ended))
+        found = self.moves[i][byte] = ended, self.state(tuple(going))
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -169,13 +157,17 @@ class Transducer:
             return (i,)
         if len(self.keys) > self.max_states:
             self.reset()
-        out: list[int] = []
+        last: list[int] = []
         at, moves = self.start, self.moves
         for b in piece:
-            emitted, at = moves[at].get(b) or self.move(at, b)
-            if emitted:
-                out += emitted
-        out += self.keys[at][1][-1][1]
+            token, at = moves[at].get(b) or self.move(at, b)
+            last.append(token)
+        out, size_of, i = [], self.size_of, len(last)
+        while i:
+            token = last[i - 1]
+            out.append(token)
+            i -= size_of[token]
+        out.reverse()
         return tuple(out)
 
 

@@ -39,6 +39,17 @@ def test_few_states_and_pieces(own, monkeypatch):
     assert codec.encode(text) == library.encode_ordinary(text)
 
 
+def test_few_states_serve_many_words(own):
+    """A state holds what may still be open, not all that came before: new words soon meet states that are there."""
+    rng = random.Random(3)
+    syllables = sorted({rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice(["", "n", "r", "s"]) for _ in range(200)})
+    words = list(dict.fromkeys(" " + "".join(rng.choices(syllables, k=rng.randint(2, 5))) for _ in range(20_000)))
+    fst = Transducer(own[0].fst.ranks)
+    for w in words:
+        assert list(fst.encode(w.encode())) == own[1].encode_ordinary(w)
+    assert len(fst.keys) < 2.8 * len(words)  # with all open tokens in a state: 3.7
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_random_vocabularies(seed, tmp_path):
     """Merges learned from random text by joining the commonest pair, as any byte-level vocabulary is made."""
