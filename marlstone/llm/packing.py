@@ -15,6 +15,7 @@ text become their ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -133,11 +134,32 @@ class Marks:
         return self.begin is not None and self.begin in word and self.any.search(word) is not None
 
 
+#: Words of these letters alone are what the normalisers below leave as it is and the pattern takes in one match.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The letters that stand for bytes in a byte-level vocabulary.
+_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def model_of(t):
+    """The call of the tokenizer's model for a word of PLAIN letters, or null where the steps before it may change or cut
+    such a word."""
+    spec = json.loads(t.to_str())
+    steps = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+    if not steps or spec["post_processor"] or spec["truncation"] or spec["padding"] or spec["model"]["type"] != "BPE" or spec["model"]["dropout"]:
+        return None
+    return None if any(PLAIN.fullmatch(x["content"].lower()) for x in spec["added_tokens"]) else t.model.tokenize
+
+
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def words_of(path: str):
-    """The tokenizer, the ids of words met so far (little-endian, 4 bytes an id), kept in a worker between tasks, and a pattern of its special tokens."""
+    """The tokenizer, the ids of words met so far (little-endian, 4 bytes an id), kept in a worker between tasks, a pattern of its special tokens, and its model_of()."""
     takes_turn("packing", _TOKENIZERS.clear)
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,7 +169,7 @@ def words_of(path: str):
             raise RuntimeError("ids are kept as little-endian 4-byte numbers")
         t = Tokenizer.from_file(path)
         marks = tuple(x.content.encode() for x in t.get_added_tokens_decoder().values())
-        _TOKENIZERS[path] = t, {}, Marks(marks)
+        _TOKENIZERS[path] = t, {}, Marks(marks), model_of(t)
     return _TOKENIZERS[path]
 
 
@@ -168,7 +190,7 @@ def parts_of(word: bytes, special: Marks) -> tuple[bytes, ...]:
 
 def encode_all(path: str, texts: list[str]) -> list[bytes]:
     """The ids of each text. The vocabulary drops white space and never looks across it, so that words are encoded once."""
-    t, known, special = words_of(path)
+    t, known, special, model = words_of(path)
     split = [x.encode().split() if x else [] for x in texts]
     if len(known) > MAX_WORDS:
         for w in list(islice(reversed(known), len(known) // 2)):  # frequent words come early and stay
@@ -176,8 +198,15 @@ def encode_all(path: str, texts: list[str]) -> list[bytes]:
     new = set().union(*split).difference(known)
     cut = {w: parts_of(w, special) for w in new}
     parts = list({p for x in cut.values() for p in x}.difference(known))
-    for p, e in zip(parts, t.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
-        known[p] = array("I", e.ids).tobytes()
+    others = []
+    for p in parts:
+        x = p.decode()
+        if model and PLAIN.fullmatch(x):
+            known[p] = array("I", [k.id for k in model(x if x.isascii() else p.decode("latin-1").translate(_LETTERS))]).tobytes()
+        else:
+            others.append(x)
+    for x, e in zip(others, t.encode_batch_fast(others, add_special_tokens=False), strict=True):
+        known[x.encode()] = array("I", e.ids).tobytes()
     for w, x in cut.items():
         if w not in known:
             known[w] = known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]]
